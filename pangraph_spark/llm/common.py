@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -75,6 +77,20 @@ def _clean() -> None:
             return
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a Spark context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_shipped_package", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    target = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+    sc._shipped_package = True
+
+
 def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
     """``step(batch)`` yields Arrow batches for each batch of a partition."""
 
@@ -82,6 +98,7 @@ def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
         for batch in batches:
             yield from step(batch)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

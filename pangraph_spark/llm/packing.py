@@ -125,6 +125,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 4096, end_id: int = 1) -
                 last, run = size[-1], int(local[-1]) + 1
             yield common.pa.RecordBatch.from_arrays([*batch.columns, common.pa.array(local.astype(np.int64))], names=[*batch.schema.names, "local"])
 
+    common.ship(spark)
     ranked = common.cut(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(number, PIECES + ", part int, local long"))
     counts = ranked.groupBy("length", "part").agg((F.max("local") + 1).alias("n")).orderBy("length", "part").collect()
     total: dict[int, int] = {}

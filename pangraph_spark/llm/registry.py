@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, packing, token_counts
+from . import bpe_codec, fingerprints, licenses, packing, token_counts, toxicity
 
 QUERIES = {
+    "op2_license_scan": licenses.query,
     "op4_token_counts": token_counts.query,
     "op6_bpe_codec": bpe_codec.query,
+    "op7_toxicity": toxicity.query,
     "op8_best_fit_packing": packing.query,
+    "op9_document_fingerprints": fingerprints.query,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_license_scan": licenses.sql(), "op9_document_fingerprints": fingerprints.sql()}
