@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, fingerprints, licenses, packing, secrets, token_counts, topk, toxicity
+from . import bpe_codec, fingerprints, licenses, packing, secrets, substrings, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_toxicity": toxicity.query,
     "op8_best_fit_packing": packing.query,
     "op9_document_fingerprints": fingerprints.query,
+    "op10_substring_dedup": substrings.query,
 }
 SQL: dict[str, str] = {"op2_license_scan": licenses.sql(), "op5_exact_topk": topk.SQL, "op9_document_fingerprints": fingerprints.sql()}
