@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe_codec, fingerprints, licenses, packing, secrets, substrings, token_counts, topk, toxicity
+from . import bpe_codec, fingerprints, licenses, packing, secrets, similarity, substrings, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.query,
     "op2_license_scan": licenses.query,
+    "op3_ngram_jaccard_join": similarity.query,
     "op4_token_counts": token_counts.query,
     "op5_exact_topk": topk.query,
     "op6_bpe_codec": bpe_codec.query,

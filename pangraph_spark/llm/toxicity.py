@@ -233,30 +233,57 @@ def calibrate(scored: DataFrame, labels: DataFrame) -> np.ndarray:
     return monotone(n, p)
 
 
+def _usable(labels: DataFrame) -> DataFrame:
+    """Labels that may be learnt from, one a document."""
+    use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
+    return use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
+def _fit_weighted(docs: DataFrame, use: DataFrame) -> Model:
+    weights = copy_weights(docs.join(use, "doc_id"))
+    return fit(docs.join(use.join(weights, "doc_id"), "doc_id").select("text", "toxic", "weight"))
+
+
+def _probability(curve: np.ndarray, found: np.ndarray) -> np.ndarray:
+    place = np.minimum(np.log2(1 + found) * STEPS, LEVELS - 1)
+    # inside a level more evidence still ranks higher, by at most 0.001
+    return curve[place.astype(np.int64)] * 0.999 + 0.001 * found / (1 + found)
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``doc_id, held_out, score, predicted, evidence, n_passages`` of every row of ``docs``.
 
     ``labels(doc_id, toxic)`` may cover some of them; held-out rows' labels are not read.
     """
-    spark = docs.sparkSession
-    docs = common.texts(docs)
-    use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
-    use = use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    weights = copy_weights(docs.join(use, "doc_id"))
-    model = fit(docs.join(use.join(weights, "doc_id"), "doc_id").select("text", "toxic", "weight"))
-    scored = common.cut(evidence(docs, model))
-    shared = spark.sparkContext.broadcast(calibrate(scored, use))
+    docs, use = common.texts(docs), _usable(labels)
+    scored = common.cut(evidence(docs, _fit_weighted(docs, use)))
+    shared = docs.sparkSession.sparkContext.broadcast(calibrate(scored, use))
 
     def step(batch):
-        found = batch.column(1).to_numpy()
-        place = np.minimum(np.log2(1 + found) * STEPS, LEVELS - 1)
-        # inside a level more evidence still ranks higher, by at most 0.001
-        p = shared.value[place.astype(np.int64)] * 0.999 + 0.001 * found / (1 + found)
+        p = _probability(shared.value, batch.column(1).to_numpy())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= threshold).astype(np.int32)), batch.column(1), batch.column(2)], names=["doc_id", "score", "predicted", "evidence", "n_passages"])
 
     out = common.map_arrow(scored, step, "doc_id long, score double, predicted int, evidence double, n_passages long")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "evidence", "n_passages")
 
 
+def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
+    plain, use = common.texts(docs), _usable(labels)
+    model = _fit_weighted(plain, use)
+    curve = calibrate(evidence(plain.join(use, "doc_id").select("doc_id", "text"), model), use)
+    shared = docs.sparkSession.sparkContext.broadcast((model, curve))
+
+    def step(batch):
+        model, curve = shared.value
+        for rows, data, offsets in text_slices(batch, "text", 8 << 20):
+            sums = np.zeros(len(offsets) - 1)
+            for d, _, found in _scan(model, data, offsets):
+                sums[d] = sum(x[3] for x in found)
+            yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(_probability(curve, sums) < threshold))
+
+    return common.map_arrow(docs, step, docs.schema)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return score(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
