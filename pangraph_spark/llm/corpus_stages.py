@@ -6,10 +6,19 @@ All but the last return the columns of documents.  A stage works on every row of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import common, packing, secrets, similarity, substrings, toxicity
 
 
+def _recounted(docs: DataFrame) -> DataFrame:
+    """The table with ``n_chars`` as long as its changed texts, where it has that column."""
+    if "n_chars" not in docs.columns:
+        return docs
+    kind = docs.schema["n_chars"].dataType
+    return docs.withColumn("n_chars", F.length("text").cast(kind))
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes out the documents that the toxicity model rejects."""
     return toxicity.reject(docs, common.table(spark, sf_dir, "labels"))
@@ -22,12 +31,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages out of texts that begin earlier in the corpus."""
-    return substrings.dedup(docs)
+    return _recounted(substrings.dedup(docs))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces the secrets in texts."""
-    return secrets.redact(docs)
+    return _recounted(secrets.redact(docs))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
