@@ -1,0 +1 @@
+"""Graph-genome analytics as PySpark DataFrame plans."""
