@@ -27,13 +27,14 @@ class Ranges:
         row = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("b")).first()
         self.rows, self.bytes = row.n, row.b or 0
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        want = max(1, -(-self.bytes // group_bytes), min(self.rows // 50, 4 * parts))
+        want = max(1, -(-self.bytes // group_bytes), min(self.rows // 50, parts))
         share = [k / want for k in range(1, want)]
         found = docs.agg(F.percentile_approx("doc_id", share, 20_000).alias("b")).first().b if share else []
         self.bounds = sorted({b for b in found or [] if b is not None})
         self.count = len(self.bounds) + 1
-        # receivers of packed arrays: as many as ranges, a power of two
-        self.buckets = 1 << max(0, (self.count - 1).bit_length())
+        # receivers of packed arrays: a power of two, at most half as many as ranges, since the number of
+        # packed values is the product of both
+        self.buckets = 1 << max(0, (self.count // 2).bit_length() - 1)
 
     def of(self, ids: np.ndarray) -> np.ndarray:
         return np.searchsorted(np.array(self.bounds, np.int64), ids, "left").astype(np.int32)
