@@ -62,8 +62,11 @@ def _words(data, offsets):
     return split_words(data, offsets, lower=True, separators=SYMBOLS)
 
 
-def copy_weights(labelled: DataFrame) -> DataFrame:
-    """``doc_id, weight``: copies and near copies, told by their least window hash, weigh one text together."""
+def copy_weights(docs: DataFrame, use: DataFrame) -> DataFrame:
+    """``use`` with ``weight``: copies and near copies, told by their least window hash, weigh one text together.
+
+    Keys are made for all documents, as that needs no text to move; the joins are of small rows.
+    """
 
     def step(batch):
         for rows, data, offsets in text_slices(batch, "text", 8 << 20):
@@ -77,8 +80,9 @@ def copy_weights(labelled: DataFrame) -> DataFrame:
                 key[some] = np.minimum.reduceat(h, w.first[:-1][some])
             yield common.arrow(doc_id=common.rows_of(batch, "doc_id", rows), key=key.view(np.int64))
 
-    keys = common.cut(common.map_arrow(labelled.select("doc_id", "text"), step, "doc_id long, key long"))
-    return keys.join(keys.groupBy("key").agg((1.0 / F.count("*")).alias("weight")), "key").groupBy("doc_id").agg(F.min("weight").alias("weight"))
+    keys = common.map_arrow(docs, step, "doc_id long, key long").groupBy("doc_id").agg(F.min("key").alias("key"))
+    keyed = common.cut(keys.join(use.hint("merge"), "doc_id"))
+    return keyed.join(keyed.groupBy("key").agg((1.0 / F.count("*")).alias("weight")).hint("merge"), "key").select("doc_id", "toxic", "weight")
 
 
 def count_words(labelled: DataFrame) -> DataFrame:
@@ -224,7 +228,7 @@ def _level(column):
 
 def calibrate(scored: DataFrame, labels: DataFrame) -> np.ndarray:
     """Probability at each evidence level, from at most LEVELS counts."""
-    rows = scored.join(labels, "doc_id").groupBy(_level(F.col("evidence")).alias("level")).agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("double")).alias("p")).collect()
+    rows = scored.join(labels.hint("merge"), "doc_id").groupBy(_level(F.col("evidence")).alias("level")).agg(F.count("*").alias("n"), F.sum(F.col("toxic").cast("double")).alias("p")).collect()
     n, p = np.zeros(LEVELS), np.zeros(LEVELS)
     for r in rows:
         n[r.level], p[r.level] = r.n, r.p
@@ -239,9 +243,12 @@ def _usable(labels: DataFrame) -> DataFrame:
     return use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
-def _fit_weighted(docs: DataFrame, use: DataFrame) -> Model:
-    weights = copy_weights(docs.join(use, "doc_id"))
-    return fit(docs.join(use.join(weights, "doc_id"), "doc_id").select("text", "toxic", "weight"))
+def _labelled(docs: DataFrame, use: DataFrame) -> DataFrame:
+    """``doc_id, text, toxic, weight`` of the labelled rows: the only step that moves texts.
+
+    Always a merge join: it suits any size, and what it moves grows in step with the input.
+    """
+    return common.cut(docs.join(copy_weights(docs, use).hint("merge"), "doc_id").select("doc_id", "text", "toxic", "weight"))
 
 
 def _probability(curve: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -256,7 +263,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
     ``labels(doc_id, toxic)`` may cover some of them; held-out rows' labels are not read.
     """
     docs, use = common.texts(docs), _usable(labels)
-    scored = common.cut(evidence(docs, _fit_weighted(docs, use)))
+    scored = common.cut(evidence(docs, fit(_labelled(docs, use))))
     shared = docs.sparkSession.sparkContext.broadcast(calibrate(scored, use))
 
     def step(batch):
@@ -270,8 +277,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
 def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns stay."""
     plain, use = common.texts(docs), _usable(labels)
-    model = _fit_weighted(plain, use)
-    curve = calibrate(evidence(plain.join(use, "doc_id").select("doc_id", "text"), model), use)
+    labelled = _labelled(plain, use)
+    model = fit(labelled)
+    curve = calibrate(evidence(labelled.select("doc_id", "text"), model), use)
     shared = docs.sparkSession.sparkContext.broadcast((model, curve))
 
     def step(batch):
