@@ -5,13 +5,13 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..package import ship
+
 #: The tokenizer file that the queries use.
 TOKENIZER = "word_bpe_49k.json"
 
@@ -38,11 +38,13 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="scratch-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _OWN:
+            _OWN.append("file://" + tempfile.mkdtemp(prefix="scratch-"))
+        base = _OWN[0]
     return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
+_OWN: list[str] = []
 _LEFT: list[tuple[SparkSession, str]] = []
 
 
@@ -77,20 +79,6 @@ def _clean() -> None:
             return
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a Spark context."""
-    sc = spark.sparkContext
-    if getattr(sc, "_shipped_package", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="package-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(target))
-    sc._shipped_package = True
-
-
 def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
     """``step(batch)`` yields Arrow batches for each batch of a partition."""
 
