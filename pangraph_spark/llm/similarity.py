@@ -1,13 +1,14 @@
 """Near-duplicate documents: exact join of word 5-shingle sets at Jaccard 0.8 over prefix trees.
 
-1. Weights.  Each text's least shingle hashes (somewhat more than a prefix) are counted; shingles that many
-   texts share become heavy.  The global order puts light shingles first, by hash, then heavy ones, by how
-   common they are.  Any such order is right; this one keeps boilerplate out of prefixes.
+1. Weights.  Each text's least shingle hashes (more than a prefix) are counted over all texts.  The global
+   order puts shingles of one text first, by hash, then shared ones, by how common they are.  Any such
+   order is right; this one keeps boilerplate out of prefixes.
 2. Candidates.  Two sets at the threshold share an element of their prefixes.  Texts that share a prefix
    element are joined into blocks.  Per element that takes a star of edges, not its pairs.
 3. Trees.  A block's sets meet in one task, which builds a prefix tree over them and walks it with each
-   set (see :mod:`.prefix_tree`).  Large blocks are cut into chunks; some leaders visit all chunks, and
-   what is not in its block's largest component after that visits all chunks as a probe.
+   set (see :mod:`.prefix_tree`).  Large blocks are cut into trees by bands of set size, and by hash where
+   a band is still large.  Similar sets are in one band or in neighbouring ones.  First some leaders visit
+   the trees around theirs; then whatever is not in its block's largest component visits them as a probe.
 4. Components of the verified links, together with equal sets, name the groups.
 
 Rows with one ``doc_id`` are one document: a link of any of them counts for all.  Rows without id link
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -29,10 +30,12 @@ from .prefix_tree import link
 from .words import U, mix, powers, split_words, text_bytes, text_slices, windows
 
 SHINGLE = 5
-HEAVY = 16  # texts that share a shingle before it counts as heavy
-WIDER = 1.4  # how much longer than a prefix the counted part is
+HEAVY = 2  # texts that share a shingle before it goes behind the others
+WIDER = 1.8  # how much longer than a prefix the counted part is
 CHUNK = 1024  # sets in one tree
-LEADERS = 8
+LEADERS = 8  # of each band of a large block
+BAND = 1.25  # similar sets differ in size by no more
+SEMI_ROWS = 2_000_000  # ids that are broadcast to leave out texts no tree needs; beyond that all are sent
 PACK = 2048  # sets of small blocks in one task
 _POW = powers(0x9E3779B97F4A7C15, 8)
 
@@ -194,36 +197,40 @@ def candidate_edges(docs: DataFrame, ranges: Ranges) -> DataFrame:
     return sent.select("bucket", "data").groupBy("bucket").applyInArrow(meet, EDGES)
 
 
-VISITS = "doc_id long, part int, task long, block long, probe boolean, component long"
+def _wanted(docs: DataFrame, visits: DataFrame) -> DataFrame:
+    """The documents that some tree needs, where their ids are few enough to broadcast; else all of them."""
+    ids = visits.select("doc_id").distinct()
+    if ids.limit(SEMI_ROWS + 1).count() > SEMI_ROWS:
+        return docs
+    return docs.join(F.broadcast(ids), "doc_id", "left_semi")
 
 
 def verified_links(docs: DataFrame, ranges: Ranges, visits: DataFrame, only_probes: bool) -> DataFrame:
-    """``a, b`` for the trees of ``visits``: which task and block each document's set goes to."""
-    placed = docs.select(ranges.column().alias("part"), "doc_id", "text")
+    """``a, b``: links found in the trees of ``visits(doc_id, n, part, task, tree, probe, component)``."""
+    placed = _wanted(docs, visits).select(ranges.column().alias("part"), "doc_id", "text")
 
     def deliver(table: pa.Table, wanted: pa.Table) -> pa.Table:
-        to: dict[int, list] = {}
-        for row in zip(*[wanted[c].to_pylist() for c in ("doc_id", "task", "block", "probe", "component")], strict=True):
-            to.setdefault(row[0], []).append(row)
+        to: dict[tuple, list] = {}
+        for i, n, *row in zip(*[wanted[c].to_pylist() for c in ("doc_id", "n", "task", "tree", "probe", "component")], strict=True):
+            to.setdefault((i, n), []).append((i, *row))
         out = []
         if to and table.num_rows:
-            mine = table.filter(pa.compute.is_in(table["doc_id"], pa.array(list(to), pa.int64())))
             seen = set()
-            for i, s in _range_sets(mine):
-                if (i, sig := signature(s)) in seen:
+            for i, s in _range_sets(table):
+                if (i, len(s)) not in to or (i, sig := signature(s)) in seen:
                     continue
                 seen.add((i, sig))
-                high, low = _short(s)
-                out += [(*row, pack(high, low)) for row in to[i]]
+                data = pack(*_short(s))
+                out += [(*row, data) for row in to[i, len(s)]]
         cols = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "task": pa.array(cols[1], pa.int64()), "block": pa.array(cols[2], pa.int64()), "probe": pa.array(cols[3], pa.bool_()), "component": pa.array(cols[4], pa.int64()), "data": pa.array(cols[5], pa.binary())})
+        return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "task": pa.array(cols[1], pa.int64()), "tree": pa.array(cols[2], pa.int64()), "probe": pa.array(cols[3], pa.bool_()), "component": pa.array(cols[4], pa.int64()), "data": pa.array(cols[5], pa.binary())})
 
     def grow(table: pa.Table) -> pa.Table:
-        table = table.sort_by("block")
-        ids, block = table["doc_id"].to_numpy(), table["block"].to_numpy()
+        table = table.sort_by("tree")
+        ids, tree = table["doc_id"].to_numpy(), table["tree"].to_numpy()
         probe, known = table["probe"].to_numpy(zero_copy_only=False), table["component"].to_numpy()
         data = table["data"].to_pylist()
-        cuts = [*np.flatnonzero(np.diff(block, prepend=block[:1] - 1)).tolist(), len(block)]
+        cuts = [*np.flatnonzero(np.diff(tree, prepend=~tree[:1]) != 0).tolist(), len(tree)]
         a, b = [], []
         for low, high in zip(cuts, cuts[1:], strict=False):
             if high - low < 2:
@@ -234,54 +241,68 @@ def verified_links(docs: DataFrame, ranges: Ranges, visits: DataFrame, only_prob
                 b.append(ids[low + y])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    sent = placed.groupBy("part").cogroup(visits.groupBy("part")).applyInArrow(deliver, "doc_id long, task long, block long, probe boolean, component long, data binary")
+    sent = placed.groupBy("part").cogroup(visits.groupBy("part")).applyInArrow(deliver, "doc_id long, task long, tree long, probe boolean, component long, data binary")
     return sent.groupBy("task").applyInArrow(grow, EDGES)
 
 
-def _chunks(blocks: DataFrame) -> DataFrame:
-    """Adds ``size``, ``chunks`` and the document's own ``chunk`` to ``doc_id, block``."""
-    sizes = blocks.groupBy("block").agg(F.count("*").alias("size"))
-    found = blocks.join(sizes, "block").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    return found.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.col("chunks")).cast("int"))
+PLACE = ["doc_id", "n", "block", "band", "sub", "large"]
+
+
+def _trees(blocks: DataFrame) -> DataFrame:
+    """Adds ``band``, ``sub`` and ``large`` to ``doc_id, n, block``: the tree that each set is in."""
+    sizes = blocks.groupBy("block").agg((F.count("*") > CHUNK).alias("large"))
+    band = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")).otherwise(F.lit(0))
+    rows = blocks.join(sizes, "block").withColumn("band", band)
+    subs = rows.groupBy("block", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("subs"))
+    return rows.join(subs, ["block", "band"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int"))
+
+
+def _neighbours(rows: DataFrame, trees: DataFrame) -> DataFrame:
+    """A row for each other tree of the same block in a set's own band or in one next to it."""
+    there = trees.where("large").select("block", "band", "subs").distinct()
+    away = rows.withColumnRenamed("sub", "own_sub").withColumnRenamed("band", "own_band").drop("subs")
+    away = away.withColumn("band", F.explode(F.array(*[F.col("own_band") + k for k in (-1, 0, 1)])))
+    away = away.join(there, ["block", "band"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
+    return away.where((F.col("band") != F.col("own_band")) | (F.col("sub") != F.col("own_sub"))).drop("own_band", "own_sub", "subs")
 
 
 def _visits(rows: DataFrame, ranges: Ranges, packs: int) -> DataFrame:
-    """Small blocks share tasks; each chunk of a large one is a task of its own."""
-    small = F.pmod(F.xxhash64("block"), F.lit(packs))
-    own = F.xxhash64("block", "chunk").bitwiseOR(F.lit(-(2**63)))
-    return rows.select("doc_id", ranges.column().alias("part"), F.when(F.col("chunks") == 1, small).otherwise(own).alias("task"), F.when(F.col("chunks") == 1, F.col("block")).otherwise(own).alias("block"), "probe", "component")
+    """Small blocks share tasks; each tree of a large one has a task of its own."""
+    own = F.xxhash64("block", "band", "sub")
+    task = F.when(F.col("large"), own).otherwise(F.pmod(F.xxhash64("block"), F.lit(packs)))
+    return rows.select("doc_id", "n", ranges.column().alias("part"), task.alias("task"), own.alias("tree"), "probe", "component")
 
 
-def similar_links(docs: DataFrame) -> DataFrame:
+def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b``: verified links between different texts, enough to connect every group."""
     ranges = Ranges(docs)
     common.ship(docs.sparkSession)
     blocks = components(candidate_edges(docs, ranges)).select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
-    blocks = common.cut(_chunks(blocks))
-    total = blocks.agg(F.count("*"), F.max("chunks")).first()
-    packs = max(1, -(-total[0] // PACK), min(total[0] // 64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    rows = blocks.withColumn("probe", F.lit(False)).withColumn("component", F.col("doc_id"))
-    if (total[1] or 0) > 1:
-        large = blocks.where(F.col("chunks") > 1)
-        lead = large.groupBy("block").agg(F.min("chunks").alias("chunks"), F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), (F.col("size") / (4 * LEADERS)).cast("long"))) == 0, F.col("doc_id")))).alias("ids"))
-        lead = lead.select("block", "chunks", F.explode(F.slice("ids", 1, LEADERS)).alias("doc_id"))
-        lead = lead.join(large.select("doc_id", F.col("chunk").alias("home")), "doc_id").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where(F.col("chunk") != F.col("home"))
-        rows = rows.select("doc_id", "block", "chunks", "chunk", "probe", "component").unionByName(lead.select("doc_id", "block", "chunks", "chunk", F.lit(False).alias("probe"), F.col("doc_id").alias("component")))
+    blocks = blocks.join(sets.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id")
+    trees = common.cut(_trees(blocks))
+    total = trees.agg(F.count("*").alias("n"), F.coalesce(F.max("large"), F.lit(False)).alias("large")).first()
+    packs = max(1, -(-total.n // PACK), min(total.n // 64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    marks = [F.lit(False).alias("probe"), F.col("doc_id").alias("component")]
+    rows = trees.select(*PLACE, *marks)
+    if total.large:
+        large = trees.where("large")
+        counts = large.groupBy("block", "band").agg(F.count("*").alias("members"))
+        some = large.join(counts, ["block", "band"]).where(F.pmod(F.xxhash64("doc_id", F.lit("lead")), F.greatest(F.lit(1).cast("long"), (F.col("members") / (4 * LEADERS)).cast("long"))) == 0)
+        first = Window.partitionBy("block", "band").orderBy(F.xxhash64("doc_id", F.lit("order")), "doc_id", "n")
+        leaders = some.withColumn("k", F.row_number().over(first)).where(F.col("k") <= LEADERS)
+        rows = rows.unionByName(_neighbours(leaders.select(*PLACE), trees).select(*PLACE, *marks))
     links = common.cut(verified_links(docs, ranges, _visits(rows, ranges, packs), False))
-    if (total[1] or 0) <= 1:
+    if not total.large:
         return links
-    # what is not in its block's largest component meets all of the block's chunks
     found = components(links).withColumnRenamed("node", "doc_id")
-    large = common.cut(blocks.where(F.col("chunks") > 1).join(found, "doc_id", "left").select("doc_id", "block", "chunks", "chunk", F.coalesce("root", "doc_id").alias("component")))
-    sizes = large.groupBy("block", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("block").agg(F.max(F.struct("n", "component")).alias("top")).select("block", F.col("top.component").alias("main"))
-    marked = large.join(main, "block").withColumn("probe", F.col("component") != F.col("main"))
-    asking = marked.where("probe").select("block").distinct()
-    marked = marked.join(asking, "block")
-    visit = marked.where("probe").withColumn("home", F.col("chunk")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where(F.col("chunk") != F.col("home"))
-    columns = ["doc_id", "block", "chunks", "chunk", "probe", "component"]
-    again = marked.select(*columns).unionByName(visit.select(*columns))
-    if asking.isEmpty():
+    known = common.cut(trees.where("large").join(found, "doc_id", "left").select(*PLACE, F.coalesce("root", "doc_id").alias("component")))
+    main = known.groupBy("block", "component").agg(F.count("*").alias("members")).groupBy("block").agg(F.max(F.struct("members", "component")).alias("top"))
+    marked = known.join(main.select("block", F.col("top.component").alias("main")), "block").withColumn("probe", F.col("component") != F.col("main")).drop("main")
+    probes = _neighbours(marked.where("probe"), trees)
+    visited = probes.select("block", "band", "sub").distinct()
+    stay = marked.join(visited, ["block", "band", "sub"], "left_semi").withColumn("probe", F.lit(False))
+    again = common.cut(stay.select(*PLACE, "probe", "component").unionByName(probes.select(*PLACE, "probe", "component")))
+    if again.isEmpty():
         return links
     return links.unionByName(common.cut(verified_links(docs, ranges, _visits(again, ranges, packs), True)))
 
@@ -292,8 +313,8 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = common.cut(set_table(docs))
     if sets.isEmpty():
         return sets.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    links = similar_links(docs)
     some = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    links = similar_links(docs, some)
     equal = some.groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
     equal = some.join(equal, ["sig", "n_shingles"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
     found = components(links.unionByName(equal))
