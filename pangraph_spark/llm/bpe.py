@@ -275,7 +275,7 @@ class Encoder:
     time and never changes results.
     """
 
-    def __init__(self, automaton: Automaton, learn=None, limit: int = 500_000):
+    def __init__(self, automaton: Automaton, learn=None, limit: int = 300_000):
         self.automaton, self.limit = automaton, limit
         self.learn = learn or (lambda ids: array("i", ids).tobytes())
         self.memo: dict[int, bytes] = {}

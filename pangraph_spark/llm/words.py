@@ -140,7 +140,7 @@ def windows(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), left >= n
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 16 << 20):
+def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = 8 << 20):
     """Row ranges of a batch with at most ``limit`` bytes of text each, or one row: ``(rows, data, offsets)``."""
     data, offsets = text_bytes(batch.column(batch.schema.get_field_index(column)))
     at, n = 0, len(offsets) - 1
