@@ -52,7 +52,7 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes a table to shared storage and reads it back: lineage ends there, and lost executors lose nothing."""
     spark = df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     if not _LEFT:
         atexit.register(_clean)
     _LEFT.append((spark, path))
