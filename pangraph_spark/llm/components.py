@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import common
 
 EDGES = "a long, b long"
+#: Edges that one task may finish alone (16 MB); more go through the rounds of stars.
+ONE_TASK = 1_000_000
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +55,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = common.cut(local_forests(edges.where(F.col("a") != F.col("b"))).distinct())
     mark = _mark(now)
+    if 0 < mark[0] <= ONE_TASK:
+        now, mark = common.cut(_finish(now)), (0,)
     while mark[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.first("a"), F.min("b")).alias("m"))
@@ -67,6 +71,18 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _finish(edges: DataFrame) -> DataFrame:
+    """Stars of all components, for edges known to fit one task."""
+
+    def run(batches):
+        found = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+        if found:
+            node, root = forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+            yield common.arrow(a=pa.array(node, pa.int64()), b=pa.array(root, pa.int64()))
+
+    return edges.repartition(1).mapInArrow(run, EDGES)
+
+
 def _mark(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(2**31)))).first()
     return tuple(row)
