@@ -1,8 +1,8 @@
 """Near-duplicate documents: exact join of word 5-shingle sets at Jaccard 0.8 over prefix trees.
 
-1. Weights.  Each text's least shingle hashes (more than a prefix) are counted over all texts.  The global
-   order puts shingles of one text first, by hash, then shared ones, by how common they are.  Any such
-   order is right; this one keeps boilerplate out of prefixes.
+1. Weights.  Every shingle is counted over all texts.  The global order puts shingles of one text first, by
+   hash, then shared ones, by how common they are.  Any order gives the same result; this one keeps
+   boilerplate out of prefixes, and with it texts out of blocks.
 2. Candidates.  Two sets at the threshold share an element of their prefixes.  Texts that share a prefix
    element are joined into blocks.  Per element that takes a star of edges, not its pairs.
 3. Trees.  A block's sets meet in one task, which builds a prefix tree over them and walks it with each
@@ -31,7 +31,7 @@ from .words import U, mix, powers, split_words, text_bytes, text_slices, windows
 
 SHINGLE = 5
 HEAVY = 2  # texts that share a shingle before it goes behind the others
-WIDER = 1.8  # how much longer than a prefix the counted part is
+SPLIT = 4  # receivers of counts for each receiver of prefixes: all shingles are counted, few are in prefixes
 CHUNK = 1024  # sets in one tree
 LEADERS = 8  # of each band of a large block
 BAND = 1.25  # similar sets differ in size by no more
@@ -100,7 +100,7 @@ def heavy_shingles(docs: DataFrame, ranges: Ranges) -> DataFrame:
                 key = (p, signature(s))
                 if len(s) and key not in seen:  # copies count once
                     seen.add(key)
-                    picked.append((p, s[: min(len(s), int(WIDER * prefix_size(len(s))))]))
+                    picked.append((p, s))
             if not picked:
                 continue
             h = np.concatenate([s for _, s in picked]) & ~U(0xFFFF)
@@ -112,17 +112,18 @@ def heavy_shingles(docs: DataFrame, ranges: Ranges) -> DataFrame:
             at = np.flatnonzero(new)
             n = np.minimum(np.diff(at, append=len(h)), 65535).astype(np.int64)
             h, part = h[at], part[at]
-            found = [(b, pack(*_short(h[r]), part[r], n[r])) for b, r in by_bucket(h, ranges.buckets)]
+            found = [(b, pack(*_short(h[r]), part[r], n[r])) for b, r in by_bucket(h, SPLIT * ranges.buckets)]
             yield _entries([b for b, _ in found], [0] * len(found), [d for _, d in found])
 
     def meet(table: pa.Table) -> pa.Table:
         found = [unpack(x) for x in table["data"].to_pylist()]
         h = np.concatenate([_long(x[0], x[1]) for x in found])
-        part, n = np.concatenate([x[2] for x in found]), np.concatenate([x[3] for x in found])
+        part, n = (np.concatenate([x[k] for x in found]).astype(np.int32) for k in (2, 3))
+        del found
         order = np.argsort(h, kind="stable")
         h, part, n = h[order], part[order], n[order]
         edge = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
-        total = np.add.reduceat(n, edge)
+        total = np.add.reduceat(n.astype(np.int64), edge)
         times = np.diff(edge, append=len(h))
         keep = np.repeat(total >= HEAVY, times)
         level = np.repeat(np.log2(total).astype(np.int64), times)[keep]
