@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
@@ -79,12 +80,21 @@ def _clean() -> None:
             return
 
 
+def give_back() -> None:
+    """Returns freed memory to the system, as worker processes live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
     """``step(batch)`` yields Arrow batches for each batch of a partition."""
 
     def run(batches):
         for batch in batches:
             yield from step(batch)
+        give_back()
 
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
