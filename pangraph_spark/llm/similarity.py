@@ -35,6 +35,7 @@ SPLIT = 4  # receivers of counts for each receiver of prefixes: all shingles are
 CHUNK = 1024  # sets in one tree
 LEADERS = 8  # of each band of a large block
 BAND = 1.25  # similar sets differ in size by no more
+SALTS = 64  # parts of a group of equal sets
 SEMI_ROWS = 2_000_000  # ids that are broadcast to leave out texts no tree needs; beyond that all are sent
 PACK = 2048  # sets of small blocks in one task
 _POW = powers(0x9E3779B97F4A7C15, 8)
@@ -308,6 +309,20 @@ def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     return links.unionByName(common.cut(verified_links(docs, ranges, _visits(again, ranges, packs), True)))
 
 
+def _equal_sets(sets: DataFrame) -> DataFrame:
+    """``a, b``: stars of documents with equal sets, by salted parts and then over their centres.
+
+    A large group of copies is spread over SALTS parts, and what joins by set alone is a row a part.
+    """
+    same = ["sig", "n_shingles"]
+    rows = sets.select("doc_id", *same, F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"))
+    parts = rows.groupBy(*same, "salt").agg(F.min("doc_id").alias("b"), F.count("*").alias("n"))
+    inside = rows.join(parts.where("n > 1"), [*same, "salt"]).select(F.col("doc_id").alias("a"), "b")
+    centres = parts.groupBy(*same).agg(F.min("b").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    across = parts.drop("n").join(centres, same).select(F.col("b").alias("a"), F.col("centre").alias("b"))
+    return inside.unionByName(across).where("a <> b")
+
+
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs(doc_id, text)``."""
     docs = common.texts(docs)
@@ -316,9 +331,7 @@ def groups(docs: DataFrame) -> DataFrame:
         return sets.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     some = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     links = similar_links(docs, some)
-    equal = some.groupBy("sig", "n_shingles").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1")
-    equal = some.join(equal, ["sig", "n_shingles"]).select(F.col("doc_id").alias("a"), "b").where("a <> b")
-    found = components(links.unionByName(equal))
+    found = components(links.unionByName(_equal_sets(some)))
     return sets.join(found, sets.doc_id == found.node, "left").select(sets.doc_id, "n_shingles", F.coalesce("root", sets.doc_id).alias("component_id"))
 
 
