@@ -59,8 +59,8 @@ def distinct_reads_per_region(g: Graph) -> DataFrame:
       SELECT region, count(DISTINCT read_id) AS reads FROM visits JOIN region_segments USING (node_id) WHERE read_id < 200 GROUP BY region) c ON c.region = r.region"""
 )
 def regions_with_empty(g: Graph) -> DataFrame:
-    """All regions with their number of early reads, also where there are none."""
-    found = visits.reads_per_region(g.plain_visits().where("read_id < 200"), g.region_segments())
+    """All regions with their number of distinct reads, also where there are none."""
+    found = visits.reads_per_region(g.plain_visits(), g.region_segments())
     return visits.keep_empty(g.regions().select("region"), found.groupBy("region").agg(F.count("*").alias("reads")), "reads")
 
 
