@@ -8,8 +8,9 @@ is expected K * n * exp(-lambda * S) times in ordinary text, lambda being the ro
 E[exp(lambda * score)] = 1 over ordinary words.  A document's evidence is the sum over its segments of how
 far that expectation falls below one; a monotone fit turns evidence into a probability.
 
-Word counts and the calibration use all labelled training rows.  The model keeps at most ``max_words``
-words, those of the largest absolute z, which bounds what is broadcast.
+Word counts and the calibration use all labelled training rows, and the model keeps every significant word.
+The ``max_words`` commonest are broadcast; if there are more, the rest stays a table, and texts get the
+scores of their rarer words by a join.
 
 Null and empty texts have no words and no evidence; they get the score of texts without evidence.  Rows
 are scored one by one, so repeats and ties need no rule.  Without labelled rows of both kinds every
@@ -18,7 +19,7 @@ score is the share of toxic rows among the labelled, or 0.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ NO_SIGNIFICANCE = 0.2
 
 @dataclass
 class Model:
-    """Sorted word hashes with their scores; ``drift`` is the cost of any other word."""
+    """Sorted word hashes with their scores; ``drift`` is the cost of any word without one."""
 
     words: np.ndarray
     scores: np.ndarray
@@ -43,16 +44,24 @@ class Model:
     rate: float  # lambda
     k: float
     curve: np.ndarray | None = None  # probability at each evidence level
+    rest: DataFrame | None = None  # ``h, score, share`` of the significant words beyond these
 
-    def score_words(self, hashes: np.ndarray) -> np.ndarray:
+    def score_words(self, hashes: np.ndarray, more: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         out = np.full(len(hashes), -self.drift)
-        if len(self.words):
-            at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-            hit = self.words[at] == hashes
-            out[hit] = self.scores[at[hit]]
+        for words, scores in [(self.words, self.scores), *([more] if more else [])]:
+            at, hit = _lookup(words, hashes)
+            out[hit] = scores[at[hit]]
         return out
 
 
+def _lookup(words: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``hashes`` in sorted ``words``, and which of them are there."""
+    if not len(words):
+        return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+    at = np.minimum(np.searchsorted(words, hashes), len(words) - 1)
+    return at, words[at] == hashes
+
+
 def held_out(doc_id):
     """Rows whose labels are never used: crc32 of the id as text leaves 1 modulo 3."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -117,33 +126,52 @@ def fit(labelled: DataFrame, prior: float = 500.0, least_z: float = 2.6, max_wor
     t, o = F.col("toxic") + a, F.col("other") + a
     delta = F.log(t / (nt + prior - t)) - F.log(o / (no + prior - o))
     z = delta / F.sqrt(1 / t + 1 / o)
-    top = counts.select("h", "other", delta.alias("delta"), z.alias("z")).where(F.abs("z") >= least_z).orderBy(F.desc(F.abs("z")), "h").limit(max_words).collect()
+    score = F.least(F.greatest(delta, F.lit(-1.0)), F.lit(8.0))
+    kept = counts.select("h", (F.col("toxic") + F.col("other")).alias("n"), score.alias("score"), (F.col("other") / float(no)).alias("share"), z.alias("z")).where(F.abs("z") >= least_z)
+    top = kept.orderBy(F.desc("n"), "h").limit(max_words + 1).collect()
+    rest = None
+    if len(top) > max_words:
+        top, last = top[:max_words], top[max_words]
+        rest = common.cut(kept.where((F.col("n") < last.n) | ((F.col("n") == last.n) & (F.col("h") >= last.h))).select("h", "score", "share"))
     h = np.array([r.h for r in top], np.int64).view(np.uint64)
-    delta = np.clip([r.delta for r in top], -1.0, 8.0)
-    share = np.array([r.other for r in top], float) / no
-    drift = max(NO_SIGNIFICANCE, 2 * float((share * np.maximum(delta, 0)).sum()))
+    scores, share = np.array([r.score for r in top], float), np.array([r.share for r in top], float)
+    cost = float((share * np.maximum(scores, 0)).sum())
+    if rest is not None:
+        cost += rest.agg(F.sum(F.col("share") * F.greatest("score", F.lit(0.0)))).first()[0]
+    drift = max(NO_SIGNIFICANCE, 2 * cost)
     order = np.argsort(h)
-    model = Model(h[order], delta[order], drift, 1.0, 1.0)
-    model.rate, model.k = extreme_value(model.scores, share[order], drift)
+    model = Model(h[order], scores[order], drift, 1.0, 1.0, rest=rest)
+    model.rate, model.k = extreme_value(model.scores, share[order], drift, rest)
     return model
 
 
-def extreme_value(scores: np.ndarray, share: np.ndarray, drift: float) -> tuple[float, float]:
-    """Lambda by bisection, and an upper bound of K for independent words."""
-    rest = max(0.0, 1 - share.sum())
+def extreme_value(scores: np.ndarray, share: np.ndarray, drift: float, more: DataFrame | None = None) -> tuple[float, float]:
+    """Lambda by repeated sections, and an upper bound of K for independent words; ``more`` holds further words."""
+
+    def sums(xs, ups: bool = False) -> np.ndarray:
+        use = scores > 0 if ups else np.ones(len(scores), bool)
+        found = np.array([(share[use] * np.exp(x * scores[use])).sum() for x in xs])
+        if more is not None:
+            rows = more.where("score > 0") if ups else more
+            found += np.array([v or 0.0 for v in rows.agg(*[F.sum(F.col("share") * F.exp(F.lit(float(x)) * F.col("score"))) for x in xs]).first()])
+        return found
+
+    other = max(0.0, 1 - float(sums([0.0])[0]))
 
-    def excess(x: float) -> float:
-        return float((share * np.exp(x * scores)).sum() + rest * np.exp(-x * drift) - 1)
+    def below(xs: np.ndarray) -> np.ndarray:
+        return sums(xs) + other * np.exp(-xs * drift) - 1 < 0
 
     low, high = 1e-6, 1.0
-    while excess(high) < 0 and high < 64:
-        high *= 2
-    for _ in range(80):
-        mid = (low + high) / 2
-        low, high = (mid, high) if excess(mid) < 0 else (low, mid)
+    powers = 2.0 ** np.arange(7)
+    over = np.flatnonzero(~below(powers))
+    high = float(powers[over[0] if len(over) else -1])
+    for _ in range(12):
+        xs = np.linspace(low, high, 34)
+        over = np.flatnonzero(~below(xs[1:-1]))
+        k = int(over[0]) if len(over) else len(xs) - 2
+        low, high = float(xs[k]), float(xs[k + 1])
     rate = (low + high) / 2
-    ups = scores > 0
-    return rate, max(1e-6, min(1.0, float((share[ups] * np.exp(rate * np.minimum(scores[ups], 8))).sum())))
+    return rate, max(1e-6, min(1.0, float(sums([rate], ups=True)[0])))
 
 
 def segments(places: np.ndarray, total: np.ndarray) -> list[tuple[int, int, float]]:
@@ -166,10 +194,46 @@ def segments(places: np.ndarray, total: np.ndarray) -> list[tuple[int, int, floa
     return [(a, b, high - low) for a, b, low, high in kept]
 
 
-def _scan(model: Model, data, offsets):
+def _with_rest(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs``; with ``more_words``, each row's words of ``model.rest`` and their scores, if there is one."""
+    if model.rest is None:
+        return docs
+    rows = common.cut(docs.withColumn("scan_row", F.monotonically_increasing_id()))
+    held = docs.sparkSession.sparkContext.broadcast(model.words)
+
+    def step(batch):
+        for part, data, offsets in text_slices(batch, "text", 8 << 20):
+            w = _words(data, offsets)
+            new = ~_lookup(held.value, w.hashes)[1]
+            h, owner = w.hashes[new], w.owner()[new]
+            order = np.lexsort((h, owner))
+            h, owner = h[order], owner[order]
+            first = np.ones(len(h), bool)
+            first[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+            yield common.arrow(scan_row=common.rows_of(batch, "scan_row", part).take(pa.array(owner[first])), h=h[first].view(np.int64))
+
+    found = common.map_arrow(rows.select("scan_row", "text"), step, "scan_row long, h long").join(model.rest.select("h", "score").hint("merge"), "h")
+    more = found.groupBy("scan_row").agg(F.collect_list(F.struct("h", "score")).alias("more_words"))
+    return rows.join(more.hint("merge"), "scan_row", "left").drop("scan_row")
+
+
+def _more(batch, rows: slice) -> tuple[np.ndarray, np.ndarray] | None:
+    """Sorted hashes and scores that ``_with_rest`` gave to these rows."""
+    if "more_words" not in batch.schema.names:
+        return None
+    h, score = common.rows_of(batch, "more_words", rows).flatten().flatten()
+    h, at = np.unique(h.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), return_index=True)
+    return h, score.to_numpy(zero_copy_only=False)[at]
+
+
+def _shared(spark, model: Model):
+    return spark.sparkContext.broadcast(replace(model, rest=None))
+
+
+def _scan(model: Model, data, offsets, more=None):
     """For each document with a positive word: its index, words, and significant segments."""
     w = _words(data, offsets)
-    s = model.score_words(w.hashes)
+    s = model.score_words(w.hashes, more)
     total = np.concatenate(([0.0], np.cumsum(s)))
     up = np.flatnonzero(s > 0)
     first = np.searchsorted(up, w.first)
@@ -185,30 +249,30 @@ def _scan(model: Model, data, offsets):
 
 def passages(docs: DataFrame, model: Model) -> DataFrame:
     """Every significant passage: byte range, score, and minus the log of its expected number."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs.sparkSession, model)
 
     def step(batch):
         for rows, data, offsets in text_slices(batch, "text", 8 << 20):
-            out = [(d, int(w.starts[a] - offsets[d]), int(w.ends[b - 1] - offsets[d]), s, e) for d, w, found in _scan(shared.value, data, offsets) for a, b, s, e in found]
+            out = [(d, int(w.starts[a] - offsets[d]), int(w.ends[b - 1] - offsets[d]), s, e) for d, w, found in _scan(shared.value, data, offsets, _more(batch, rows)) for a, b, s, e in found]
             d, a, b, s, e = zip(*out, strict=True) if out else ((), (), (), (), ())
             ids = common.rows_of(batch, "doc_id", rows).take(pa.array(d, pa.int64()))
             yield common.arrow(doc_id=ids, start=pa.array(a, pa.int64()), end=pa.array(b, pa.int64()), score=pa.array(s, pa.float64()), evidence=pa.array(e, pa.float64()))
 
-    return common.map_arrow(common.texts(docs), step, "doc_id long, start long, end long, score double, evidence double")
+    return common.map_arrow(_with_rest(common.texts(docs), model), step, "doc_id long, start long, end long, score double, evidence double")
 
 
 def evidence(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, evidence, n_passages`` of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = _shared(docs.sparkSession, model)
 
     def step(batch):
         for rows, data, offsets in text_slices(batch, "text", 8 << 20):
             sums, n = np.zeros(len(offsets) - 1), np.zeros(len(offsets) - 1, np.int64)
-            for d, _, found in _scan(shared.value, data, offsets):
+            for d, _, found in _scan(shared.value, data, offsets, _more(batch, rows)):
                 sums[d], n[d] = sum(x[3] for x in found), len(found)
             yield common.arrow(doc_id=common.rows_of(batch, "doc_id", rows), evidence=sums, n_passages=n)
 
-    return common.map_arrow(common.texts(docs), step, "doc_id long, evidence double, n_passages long")
+    return common.map_arrow(_with_rest(common.texts(docs), model), step, "doc_id long, evidence double, n_passages long")
 
 
 def monotone(weight: np.ndarray, positive: np.ndarray) -> np.ndarray:
@@ -280,17 +344,18 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
     labelled = _labelled(plain, use)
     model = fit(labelled)
     curve = calibrate(evidence(labelled.select("doc_id", "text"), model), use)
-    shared = docs.sparkSession.sparkContext.broadcast((model, curve))
+    shared = docs.sparkSession.sparkContext.broadcast((replace(model, rest=None), curve))
+    width = len(docs.columns)
 
     def step(batch):
         model, curve = shared.value
         for rows, data, offsets in text_slices(batch, "text", 8 << 20):
             sums = np.zeros(len(offsets) - 1)
-            for d, _, found in _scan(model, data, offsets):
+            for d, _, found in _scan(model, data, offsets, _more(batch, rows)):
                 sums[d] = sum(x[3] for x in found)
-            yield batch.slice(rows.start, rows.stop - rows.start).filter(pa.array(_probability(curve, sums) < threshold))
+            yield batch.slice(rows.start, rows.stop - rows.start).select(list(range(width))).filter(pa.array(_probability(curve, sums) < threshold))
 
-    return common.map_arrow(docs, step, docs.schema)
+    return common.map_arrow(_with_rest(docs, model), step, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

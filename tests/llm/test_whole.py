@@ -1,0 +1,32 @@
+"""Corpus operators do the whole job."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from pangraph_spark.llm import toxicity
+
+SCHEMA = "doc_id long, text string"
+
+
+def test_toxicity_model_keeps_all_significant_words(spark):
+    """Words beyond those broadcast are joined, and all results stay the same."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    texts = toxicity.common.texts(docs)
+    labelled = toxicity._labelled(texts, toxicity._usable(labels))
+    whole, few = toxicity.fit(labelled), toxicity.fit(labelled, max_words=4)
+    assert whole.rest is None and len(whole.words) > 10 and len(few.words) == 4
+    assert len(few.words) + few.rest.count() == len(whole.words)
+    assert few.drift == pytest.approx(whole.drift) and few.rate == pytest.approx(whole.rate) and few.k == pytest.approx(whole.k)
+    twice = texts.unionByName(texts.limit(20)).unionByName(spark.createDataFrame([(None, None), (None, "")], SCHEMA))
+    rows = lambda model: sorted((str(r.doc_id), round(r.evidence, 6), r.n_passages) for r in toxicity.evidence(twice, model).collect())
+    assert rows(few) == rows(whole) and any(n for *_, n in rows(whole))
+    places = lambda model: sorted((r.doc_id, r.start, r.end, round(r.score, 6)) for r in toxicity.passages(texts, model).collect())
+    assert places(few) == places(whole)
+
+
+def test_toxicity_rejects_alike_with_joined_words(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    left = lambda: sorted(r.doc_id for r in toxicity.reject(docs.withColumn("extra", F.lit(1)), labels).collect())
+    whole, fit = left(), toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda labelled: fit(labelled, max_words=4))
+    assert left() == whole and len(whole) < docs.count()
