@@ -72,9 +72,11 @@ def _words(data, offsets):
 
 
 def copy_weights(docs: DataFrame, use: DataFrame) -> DataFrame:
-    """``use`` with ``weight``: copies and near copies, told by their least window hash, weigh one text together.
+    """``use`` with ``weight``: copies weigh one text together, every other text weighs 1.
 
-    Keys are made for all documents, as that needs no text to move; the joins are of small rows.
+    Copies have the same windows of 5 words, each as often (texts of fewer words: the same words), told by
+    the sum of all window hashes.  Keys are made for all documents, as that needs no text to move; the joins
+    are of small rows.
     """
 
     def step(batch):
@@ -82,11 +84,11 @@ def copy_weights(docs: DataFrame, use: DataFrame) -> DataFrame:
             w = _words(data, offsets)
             h, whole = windows(w, 5)
             short = np.repeat(np.diff(w.first) < 5, np.diff(w.first))
-            h = np.where(whole, h, np.where(short, w.hashes, np.uint64(2**64 - 1)))
+            h = np.where(whole, h, np.where(short, w.hashes, np.uint64(0)))
             key = np.zeros(len(offsets) - 1, np.uint64)
             some = np.diff(w.first) > 0
             if len(h):
-                key[some] = np.minimum.reduceat(h, w.first[:-1][some])
+                key[some] = np.add.reduceat(h, w.first[:-1][some])
             yield common.arrow(doc_id=common.rows_of(batch, "doc_id", rows), key=key.view(np.int64))
 
     keys = common.map_arrow(docs, step, "doc_id long, key long").groupBy("doc_id").agg(F.min("key").alias("key"))

@@ -30,3 +30,13 @@ def test_toxicity_rejects_alike_with_joined_words(spark, monkeypatch):
     whole, fit = left(), toxicity.fit
     monkeypatch.setattr(toxicity, "fit", lambda labelled: fit(labelled, max_words=4))
     assert left() == whole and len(whole) < docs.count()
+
+
+def test_only_copies_share_their_weight(spark):
+    """A passage in common is no copy, wherever its least window hash lies."""
+    passage = " ".join(f"shared{k}" for k in range(60))
+    texts = [f"{passage} own{k} tail{k}" for k in range(24)] + [f"Lone text {passage}"] * 4 + ["two words", "two words", "two", None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    use = docs.select("doc_id", F.lit(1).alias("toxic"))
+    got = {r.doc_id: r.weight for r in toxicity.copy_weights(docs, use).collect()}
+    assert [got[k] for k in range(len(texts))] == [1.0] * 24 + [0.25] * 4 + [0.5, 0.5, 1.0, 0.5, 0.5]
