@@ -1,7 +1,7 @@
 """A character convolutional network in numpy that tells secrets from other long tokens.
 
-Input is a window of characters: the end of what precedes a candidate, its beginning, and the beginning of
-what follows, each with its own marker channel.  One convolution over embedded characters, max and mean
+Input is a window of characters: the end of what precedes a candidate, a part of it, and the beginning of
+what follows, each with its own marker channel; the part slides over longer candidates.  One convolution over embedded characters, max and mean
 pooling, one hidden layer, one logit.  Labelled findings are made by rule from a seed: secrets of usual
 forms in code, configuration and prose, and what is often mistaken for them.  The logit is calibrated by
 Platt scaling on a part held out, and each kind's threshold is the largest that keeps the wanted recall
@@ -100,6 +100,26 @@ class Network:
         hidden = np.maximum(pooled @ w["hidden"] + w["hidden_bias"], 0)
         return hidden @ w["out"] + w["out_bias"], (cols, conv, top, pooled, hidden)
 
+    def largest(self, found, step: int = 4096) -> np.ndarray:
+        """The largest probability of each ``(text, start, end)``: the body slides over all of it, its surroundings stay."""
+        out = np.zeros(len(found))
+        x, owner = [], []
+
+        def flush() -> None:
+            if x:
+                np.maximum.at(out, owner, self.probability(np.array(x)))
+                x.clear()
+                owner.clear()
+
+        for k, (text, a, b) in enumerate(found):
+            for at in range(max(1, b - a - BODY + 1)):
+                x.append(window(text[max(0, a - LEFT) : a], text[a + at : min(b, a + at + BODY)], text[b : b + RIGHT]))
+                owner.append(k)
+                if len(x) == step:
+                    flush()
+        flush()
+        return out
+
     def probability(self, x: np.ndarray, step: int = 512) -> np.ndarray:
         parts = [self.forward(x[k : k + step])[0] for k in range(0, len(x), step)]
         logit = np.concatenate(parts) if parts else np.zeros(0)

@@ -1,9 +1,11 @@
 """Secret scan: candidates by pattern, judged by a character convolutional network.
 
 Base findings are three kinds of pattern match and always stay.  Every further token of 20 or more
-characters that mixes letters and digits is a candidate of kind ``token``; the network adds it if its
-calibrated probability reaches that kind's threshold, unless it overlaps a base finding.  The network
-scores base findings too; ``min_score`` and ``max_score`` report its range over a document's spans.
+characters that mixes letters and digits is a candidate, and so is every value of 6 or more characters
+behind a credential name; the network adds it if its calibrated probability reaches the threshold of
+``token`` or of ``assign``, unless it overlaps a base finding.  Both are reported as ``token``.  A
+candidate's probability is the largest over windows that cover all of it.  The network scores base findings
+too; ``min_score`` and ``max_score`` report its range over a document's spans.
 
 Spans are counted in code points, the end exclusive.  Null and empty texts have none.  Rows are scanned
 one by one, whole, however long; a repeated row gives the same result again.
@@ -20,14 +22,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .secret_model import KINDS, LEFT, RIGHT, Network, trained, window
+from .secret_model import KINDS, Network, trained
 from .words import SPACES, split_words, text_slices
 
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
+VALUE = re.compile(r"""(?ai:password|passwd|secret|token|api_?key|auth|private_key|bearer|access_key|credential)["']?\x20*(?:=>|[:=])\x20*["']?([A-Za-z0-9+/_.=-]{6,})""")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
+VALUE_NAMES = (*NAMES, "auth", "private_key", "bearer", "access_key", "credential")
 SHORTEST = 20  # bytes of the shortest finding other than assignments
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long, min_score double, max_score double"
 
@@ -56,25 +60,35 @@ def extra_candidates(text: str, base) -> list[tuple[int, int]]:
     return out
 
 
+def named_values(text: str, base) -> list[tuple[int, int]]:
+    """Values behind credential names that overlap no base finding."""
+    if ":" not in text and "=" not in text:
+        return []
+    low = text.lower()
+    if not any(n in low for n in VALUE_NAMES):
+        return []
+    return [m.span(1) for m in VALUE.finditer(text) if not any(a < m.end(1) and m.start(1) < b for a, b, *_ in base)]
+
+
 def scan_texts(texts: list[tuple[int, str, bool]], net: Network):
     """``(row, base, added, scores)`` of each text that has candidates; the network runs once for all."""
-    rows, x, kinds = [], [], []
+    rows, asked = [], []
     for row, text, long_tokens in texts:
         base = base_spans(text, long_tokens)
-        more = extra_candidates(text, base) if long_tokens else []
+        more = {s: "token" for s in extra_candidates(text, base)} if long_tokens else {}
+        more = {**dict.fromkeys(named_values(text, base), "assign"), **more}
         if base or more:
             rows.append((row, base, more))
-            for kind, a, b in [(k, a, b) for _, _, k, a, b in base] + [("token", a, b) for a, b in more]:
-                x.append(window(text[max(0, a - LEFT) : a], text[a:b], text[b : b + RIGHT]))
-                kinds.append(kind)
-    p = net.probability(np.array(x)) if x else np.zeros(0)
+            asked += [(text, a, b) for a, b in [*[(s[0], s[1]) for s in base], *more]]
+    p = net.largest(asked)
     at = 0
     for row, base, more in rows:
         scores = p[at : at + len(base) + len(more)]
         at += len(scores)
-        keep = scores[len(base) :] >= net.thresholds["token"]
-        added = [s for s, k in zip(more, keep, strict=True) if k]
-        yield row, base, added, np.concatenate((scores[: len(base)], scores[len(base) :][keep]))
+        kept = [(s, v) for (s, kind), v in zip(more.items(), scores[len(base) :], strict=True) if v >= net.thresholds[kind]]
+        # a value inside a larger finding is part of it
+        kept = sorted((s, v) for s, v in kept if not any(t != s and t[0] <= s[0] and s[1] <= t[1] for t, _ in kept))
+        yield row, base, [s for s, _ in kept], np.concatenate((scores[: len(base)], [v for _, v in kept]))
 
 
 def _candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, bool]]:

@@ -1,9 +1,10 @@
 """Corpus operators do the whole job."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pangraph_spark.llm import toxicity
+from pangraph_spark.llm import secret_model, secrets, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -40,3 +41,34 @@ def test_only_copies_share_their_weight(spark):
     use = docs.select("doc_id", F.lit(1).alias("toxic"))
     got = {r.doc_id: r.weight for r in toxicity.copy_weights(docs, use).collect()}
     assert [got[k] for k in range(len(texts))] == [1.0] * 24 + [0.25] * 4 + [0.5, 0.5, 1.0, 0.5, 0.5]
+
+
+@pytest.fixture(scope="module")
+def network():
+    return secret_model.trained()
+
+
+def added(network, text):
+    return [text[a:b] for _, _, spans, _ in secrets.scan_texts([(0, text, True)], network) for a, b in spans]
+
+
+def test_secret_far_inside_a_candidate_is_seen(network):
+    """A candidate is judged by all of its characters, and a harmless one of that length stays."""
+    secret = "ghp_q8Zk2mNv7Xw4Lr9Ty3Bc6Hd1Jf5Ps0Ga2Ue"
+    path = "//hooks.example.com/services/T00000000/B00000000/"
+    for filler in (path, path * 3):
+        found = added(network, f'const webhook = "https:{filler}{secret}"\n')
+        assert len(found) == 1 and found[0].endswith(secret)
+    assert added(network, 'see https://docs.example.com/services/area1/page20/documents/of_the_other_season\n') == []
+    text = path * 200 + secret
+    every = np.array([secret_model.window("", text[k : k + 40], "") for k in range(len(text) - 39)])
+    assert network.largest([("short", 0, 5), (text, 0, len(text))])[1] == pytest.approx(network.probability(every).max())
+
+
+def test_short_values_behind_credential_names_are_candidates(network):
+    for name in ("auth", "BEARER", "private_key", "credential", "access_key"):
+        text = f'the one {name} = "q8Zk2mNv7Xw4"\n'
+        assert added(network, text) == ["q8Zk2mNv7Xw4"]
+    assert added(network, 'see credential: changeme and auth: none') == []
+    values = secrets.named_values('password=hunter22 bearer: Zq81kd', secrets.base_spans('password=hunter22 bearer: Zq81kd'))
+    assert values == [(26, 32)]
