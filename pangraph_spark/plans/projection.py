@@ -13,7 +13,7 @@ from ..functions.scalars import region_label, window_start
 from ..operators import paths
 
 FLANK = 100
-VARIANT_EVERY = 25
+VARIANT_EVERY = 25  # in SQL only
 EPOCH = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"
 
 
@@ -53,7 +53,8 @@ class Graph:
         return self.table("lineitem").select(F.col("l_orderkey").cast("long").alias("read_id"), F.col("l_partkey").cast("long").alias("node_id"), F.col("l_quantity").cast("long").alias("offset"))
 
     def variants(self) -> DataFrame:
-        return self.nodes().where(F.col("node_id") % VARIANT_EVERY == 0).select((F.col("node_id") / VARIANT_EVERY).cast("long").alias("ordinal"), "path", F.col("start_offset").alias("pos"))
+        """One variant at each node's start."""
+        return self.nodes().select(F.col("node_id").alias("ordinal"), "path", F.col("start_offset").alias("pos"))
 
     def regions(self) -> DataFrame:
         v = self.variants().select("ordinal", "path", (F.col("pos") - FLANK).alias("lo"), (F.col("pos") + FLANK).alias("hi"))
@@ -66,9 +67,9 @@ class Graph:
         start = F.expr(EPOCH).cast("long")
         return self.table("events").select(F.col("event_id").cast("long").alias("read_id"), F.col("event_type").alias("contig"), start.alias("start"), (start + 150).alias("end"))
 
-    def linear_windows(self, every: int = 50, flank: int = 20_000) -> DataFrame:
-        chosen = self.linear_reads().where(F.col("read_id") % every == 0)
-        return chosen.select(F.col("read_id").alias("variant_id"), "contig", window_start(F.col("start"), flank).alias("lo"), (F.col("start") + flank).alias("hi"))
+    def linear_windows(self, flank: int = 20_000) -> DataFrame:
+        """The window of every event."""
+        return self.linear_reads().select(F.col("read_id").alias("variant_id"), "contig", window_start(F.col("start"), flank).alias("lo"), (F.col("start") + flank).alias("hi"))
 
 
 SQL_TABLES = f"""

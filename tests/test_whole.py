@@ -1,5 +1,7 @@
 """Graph queries do the whole job: brute force over small tables, without SQL."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -31,9 +33,32 @@ def test_regions_count_all_reads_and_stay_when_empty(spark, folder):
     nodes = spans(spark, folder)
     visits = [(r.l_orderkey, r.l_partkey) for r in spark.read.parquet(f"{folder}/lineitem.parquet").collect()]
     got = {r.region: r.reads for r in QUERIES["regions_with_empty"](spark, folder).collect()}
-    begin = {n: (p, b) for p, n, b, _ in nodes}
     for region, reads in got.items():
         path, lo, hi = region.split("#", 2)[2].rsplit(":", 1)[0], *map(int, region.rsplit(":", 1)[1].rsplit("-", 1))
         inside = {n for p, n, b, e in nodes if p == path and b <= hi and e > lo}
         assert reads == len({r for r, n in visits if n in inside})
-    assert len(got) == len({begin[n] for n in begin if n % 25 == 0}) and 0 in got.values() and max(got.values()) > 1
+    assert len(got) == len(nodes) and 0 in got.values() and max(got.values()) > 1
+
+
+def test_every_node_has_a_region(spark, folder):
+    nodes = spans(spark, folder)
+    labels = {r.ordinal: (r.region, r.key) for r in QUERIES["region_label"](spark, folder).collect()}
+    assert labels == {n: (f"REF#0#{p}:{b - 100}-{b + 100}", f"{p}:{b}") for p, n, b, _ in nodes}
+    inside = {labels[n][0]: {m for q, m, c, e in nodes if q == p and c <= b + 100 and e > b - 100} for p, n, b, _ in nodes}
+    visits = [(r.l_orderkey, r.l_partkey) for r in spark.read.parquet(f"{folder}/lineitem.parquet").collect()]
+    reads = {g: len({r for r, n in visits if n in held}) for g, held in inside.items()}
+    assert {r.region: r.reads for r in QUERIES["regions_with_empty"](spark, folder).collect()} == reads
+    assert {r.region: r.reads for r in QUERIES["distinct_reads_per_region"](spark, folder).collect()} == {g: n for g, n in reads.items() if n}
+    last = {m: labels[max(n for n in labels if m in inside[labels[n][0]])][0] for _, m, *_ in nodes}
+    assert {r.node_id: r.region for r in QUERIES["segment_region_last_wins"](spark, folder).collect()} == last
+
+
+def test_every_event_has_a_window(spark, tmp_path):
+    base = datetime.datetime(2024, 1, 1)
+    events = [(k, "ab"[k % 2], base + datetime.timedelta(seconds=1500 * k + 7 * (k % 5))) for k in range(1, 61)]
+    spark.createDataFrame(events, "event_id long, event_type string, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    at = {k: (c, int((t - datetime.datetime(1970, 1, 1)).total_seconds())) for k, c, t in events}
+    pairs = sorted((v, r) for v, (c, x) in at.items() for r, (d, y) in at.items() if c == d and y < x + 20_000 and y + 150 > max(0, x - 20_000))
+    assert sorted(map(tuple, QUERIES["variant_read_overlap"](spark, str(tmp_path)).collect())) == pairs
+    counts = sorted((f"{c}:{x - 20_000}", sum(v == w for w, _ in pairs)) for v, (c, x) in at.items())
+    assert sorted(map(tuple, QUERIES["pileup_counts"](spark, str(tmp_path)).collect())) == counts
