@@ -134,8 +134,8 @@ def name_contains(g: Graph) -> DataFrame:
 )
 def path_nodes_left_join_segments(g: Graph) -> DataFrame:
     """Path nodes with their segment lines; those without keep their strand."""
-    steps = g.steps().where(F.col("path").startswith("Brand#1")).select("path", "node_id", "strand")
-    return paths.describe_path(steps, g.raw_nodes().where("node_id < 500").select("node_id", "sequence", "length"))
+    steps = g.steps().select("path", "node_id", "strand")
+    return paths.describe_path(steps, g.raw_nodes().select("node_id", "sequence", "length"))
 
 
 @_query("SELECT node_id, sequence FROM nodes WHERE node_id IN (SELECT node_id FROM steps WHERE path = 'Brand#7')")

@@ -3,8 +3,8 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
+from pangraph_spark.operators import paths
 from pangraph_spark.plans.queries import QUERIES
 
 
@@ -62,3 +62,18 @@ def test_every_event_has_a_window(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["variant_read_overlap"](spark, str(tmp_path)).collect())) == pairs
     counts = sorted((f"{c}:{x - 20_000}", sum(v == w for w, _ in pairs)) for v, (c, x) in at.items())
     assert sorted(map(tuple, QUERIES["pileup_counts"](spark, str(tmp_path)).collect())) == counts
+
+
+def test_all_path_nodes_get_their_segments(spark, tmp_path):
+    """Also nodes from 500 on and paths of any name."""
+    part = [(k, f"seq{k}", f"Brand#{k % 4}", f"TYPE {k % 3}", k) for k in (1, 499, 500, 501, 20_000)]
+    spark.createDataFrame(part, "p_partkey int, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    rows = QUERIES["path_nodes_left_join_segments"](spark, str(tmp_path)).select("path", "node_id", "strand", "sequence", "length").collect()
+    assert sorted(map(tuple, rows)) == sorted((p, k, "<>"[k % 2 == 0], s, len(s)) for k, s, *both, _ in part for p in both)
+
+
+def test_path_nodes_without_segment_line_keep_their_strand(spark):
+    steps = spark.createDataFrame([("p", 1, ">"), ("p", 700, "<"), ("q", 700, ">")], "path string, node_id long, strand string")
+    lines = spark.createDataFrame([(1, "acgt", 4), (9, "a", 1)], "node_id long, sequence string, length long")
+    rows = paths.describe_path(steps, lines).select("path", "node_id", "strand", "sequence", "length").collect()
+    assert sorted(map(tuple, rows), key=repr) == [("p", 1, ">", "acgt", 4), ("p", 700, "<", None, None), ("q", 700, ">", None, None)]
