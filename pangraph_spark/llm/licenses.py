@@ -134,8 +134,7 @@ def scan(docs: DataFrame) -> DataFrame:
     by_line = F.create_map(*[F.lit(x) for pair in known for x in pair])
     text = F.coalesce(F.col("text"), F.lit(""))
     # only lines that can be a notice are brought to canonical form: known notices hold one of these words
-    lines = F.filter(F.split(F.translate(text, UPPER, LOWER), "\n"), lambda x: F.length(x) <= LONGEST_NOTICE)
-    lines = F.filter(lines, lambda x: x.contains("licen") | x.contains("unencumbered"))
+    lines = F.filter(F.split(F.translate(text, UPPER, LOWER), "\n"), lambda x: x.contains("licen") | x.contains("unencumbered"))
     found = F.filter(F.transform(lines, lambda x: F.try_element_at(by_line, F.sha2(canonical_column(x), 256))), lambda x: x.isNotNull())
     rows = common.texts(docs).select("doc_id", F.sha2(canonical_column(text), 256).alias("text_digest"), found.alias("found"))
     joined = rows.join(F.broadcast(table), rows.text_digest == table.digest, "left")
@@ -148,7 +147,7 @@ def scan(docs: DataFrame) -> DataFrame:
     )
 
 
-#: No known one-line notice is longer than this, even with other spacing.
+#: In SQL only: longer lines are not looked up there.
 LONGEST_NOTICE = 1000
 
 

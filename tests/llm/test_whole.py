@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pangraph_spark.llm import secret_model, secrets, toxicity
+from pangraph_spark.llm import licenses, secret_model, secrets, toxicity
 
 SCHEMA = "doc_id long, text string"
 
@@ -72,3 +72,12 @@ def test_short_values_behind_credential_names_are_candidates(network):
     assert added(network, 'see credential: changeme and auth: none') == []
     values = secrets.named_values('password=hunter22 bearer: Zq81kd', secrets.base_spans('password=hunter22 bearer: Zq81kd'))
     assert values == [(26, 32)]
+
+
+def test_notices_of_any_length_are_found(spark):
+    full = next(t for n, t in licenses.KNOWN if n == "MIT" and len(t) > 500).replace("\n", " ")
+    padded = "Licensed under the" + " " * 1500 + "MIT License" + "." * 5000
+    texts = [f"first line\n{full}\nlast line", f"first line\n{padded}", "no license " * 300]
+    assert len(full) > 1000
+    rows = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), SCHEMA)).collect()}
+    assert [(rows[k].n_notices, rows[k].notice_licenses) for k in range(3)] == [(1, "MIT"), (1, "MIT"), (0, "")]
