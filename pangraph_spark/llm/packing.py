@@ -1,9 +1,9 @@
-"""Bulk-synchronous best-fit packing of documents into sequences of fixed length.
+"""Best-fit packing of documents into sequences of fixed length.
 
 1. Documents become pieces of at most ``length`` tokens; the pieces are written once.
 2. Pieces are range-sorted by length and ranked inside their length, in parallel: every partition numbers
    its own rows, and the partitions' counts give the offsets.
-3. Rounds run from the longest pieces to the shortest.  In a round the pieces of one length meet the
+3. Rounds run in the driver, over counts of lengths, from the longest pieces to the shortest.  In a round the pieces of one length meet the
    sorted gaps; each takes its successor, the tightest gap that holds it.  Pieces of one length are
    alike and so are equal gaps, so a sweep matches a run of ranks with a run of sequences; the order of
    ranks resolves which piece gets which.  Gaps are updated in bulk, and the next round begins.
