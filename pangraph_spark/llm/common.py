@@ -88,10 +88,36 @@ def give_back() -> None:
         trim(0)
 
 
+#: What the operator at work keeps in this worker process from task to task.
+KEPT: dict = {}
+
+
+def begin(owner: str) -> None:
+    """A task of ``owner`` begins: what another operator has kept goes, as workers serve them all."""
+    if KEPT.get("owner") != owner:
+        KEPT.clear()
+        KEPT["owner"] = owner
+        pa.set_memory_pool(pa.system_memory_pool())
+
+
+def grouped(f):
+    """``f``, which makes a table of a group or of two cogroups, as a step that leaves nothing behind."""
+
+    def run(*tables: pa.Table) -> pa.Table:
+        begin(f.__module__)
+        out = f(*tables)
+        give_back()
+        return out
+
+    # Spark counts the arguments
+    return (lambda a, b: run(a, b)) if f.__code__.co_argcount == 2 else (lambda a: run(a))
+
+
 def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
     """``step(batch)`` yields Arrow batches for each batch of a partition."""
 
     def run(batches):
+        begin(step.__module__)
         for batch in batches:
             yield from step(batch)
         give_back()

@@ -116,6 +116,7 @@ def heavy_shingles(docs: DataFrame, ranges: Ranges) -> DataFrame:
             found = [(b, pack(*_short(h[r]), part[r], n[r])) for b, r in by_bucket(h, SPLIT * ranges.buckets)]
             yield _entries([b for b, _ in found], [0] * len(found), [d for _, d in found])
 
+    @common.grouped
     def meet(table: pa.Table) -> pa.Table:
         found = [unpack(x) for x in table["data"].to_pylist()]
         h = np.concatenate([_long(x[0], x[1]) for x in found])
@@ -156,6 +157,7 @@ def candidate_edges(docs: DataFrame, ranges: Ranges) -> DataFrame:
     placed = docs.select(ranges.column().alias("part"), "doc_id", "text")
     heavy = heavy_shingles(docs, ranges)
 
+    @common.grouped
     def post(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows:
             return pa.Table.from_batches([_entries([], [], [])])
@@ -186,6 +188,7 @@ def candidate_edges(docs: DataFrame, ranges: Ranges) -> DataFrame:
         found = [(b, pack(*_short(all_h[r]), doc[r])) for b, r in by_bucket(all_h, ranges.buckets)]
         return pa.Table.from_batches([_entries([b for b, _ in found], [0] * len(found), [d for _, d in found])])
 
+    @common.grouped
     def meet(table: pa.Table) -> pa.Table:
         found = [unpack(x) for x in table["data"].to_pylist()]
         h, doc = np.concatenate([_long(x[0], x[1]) for x in found]), np.concatenate([x[2] for x in found])
@@ -211,6 +214,7 @@ def verified_links(docs: DataFrame, ranges: Ranges, visits: DataFrame, only_prob
     """``a, b``: links found in the trees of ``visits(doc_id, n, part, task, tree, probe, component)``."""
     placed = _wanted(docs, visits).select(ranges.column().alias("part"), "doc_id", "text")
 
+    @common.grouped
     def deliver(table: pa.Table, wanted: pa.Table) -> pa.Table:
         to: dict[tuple, list] = {}
         for i, n, *row in zip(*[wanted[c].to_pylist() for c in ("doc_id", "n", "task", "tree", "probe", "component")], strict=True):
@@ -227,6 +231,7 @@ def verified_links(docs: DataFrame, ranges: Ranges, visits: DataFrame, only_prob
         cols = list(zip(*out, strict=True)) or [[]] * 6
         return pa.table({"doc_id": pa.array(cols[0], pa.int64()), "task": pa.array(cols[1], pa.int64()), "tree": pa.array(cols[2], pa.int64()), "probe": pa.array(cols[3], pa.bool_()), "component": pa.array(cols[4], pa.int64()), "data": pa.array(cols[5], pa.binary())})
 
+    @common.grouped
     def grow(table: pa.Table) -> pa.Table:
         table = table.sort_by("tree")
         ids, tree = table["doc_id"].to_numpy(), table["tree"].to_numpy()

@@ -83,6 +83,7 @@ def shared_anchors(docs: DataFrame, ranges: Ranges, window: int) -> DataFrame:
             h, part = h[entry], part[entry]
             yield _send(h, buckets, lambda r, part=part, twice=twice: (part[r], twice[r]))
 
+    @common.grouped
     def meet(table: pa.Table) -> pa.Table:
         found = [unpack(x) for x in table["data"].to_pylist()]
         h, part, twice = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -136,6 +137,7 @@ def repeated_windows(docs: DataFrame, ranges: Ranges, window: int) -> DataFrame:
     anchors = shared_anchors(docs, ranges, window)
     placed = docs.select(ranges.column().alias("part"), "doc_id", "text")
 
+    @common.grouped
     def extend(table: pa.Table, marks: pa.Table) -> pa.Table:
         empty = pa.table({"bucket": pa.array([], pa.int32()), "part": pa.array([], pa.int32()), "data": pa.array([], pa.binary())})
         if not table.num_rows or not marks.num_rows:
@@ -162,6 +164,7 @@ def repeated_windows(docs: DataFrame, ranges: Ranges, window: int) -> DataFrame:
             out.append(common.arrow(bucket=pa.array([-1 - part % buckets], pa.int32()), part=pa.array([part], pa.int32()), data=pa.array([pack(places[again].astype(np.int64))], pa.binary())))
         return pa.Table.from_batches(out)
 
+    @common.grouped
     def meet(table: pa.Table) -> pa.Table:
         if table["bucket"][0].as_py() < 0:
             return pa.table({"part": table["part"], "kind": pa.array([1] * table.num_rows, pa.int32()), "data": table["data"]})
@@ -189,25 +192,39 @@ def _kept(w: Words, starts: np.ndarray, window: int) -> np.ndarray:
     return np.cumsum(near[:-1]) == 0
 
 
-def _joined(w: Words, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of each document's kept words, a space behind each, and the documents' bounds."""
-    s, n = w.starts[keep], (w.ends - w.starts)[keep] + 1
+def _joined(w: Words, keep: np.ndarray, docs: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of the kept words of some documents, a space behind each, and these documents' bounds."""
+    words = slice(w.first[docs.start], w.first[docs.stop])
+    kept = keep[words]
+    s, n = w.starts[words][kept], (w.ends[words] - w.starts[words])[kept] + 1
     ends = np.cumsum(n)
     at = np.repeat(s - (ends - n), n)
     at += np.arange(len(at))
     np.minimum(at, max(0, len(w.data) - 1), out=at)
     out = w.data[at] if len(at) else np.zeros(0, np.uint8)
     out[ends - 1] = 0x20
-    count = np.concatenate(([0], np.cumsum(keep)))[w.first]
+    count = np.concatenate(([0], np.cumsum(kept)))[w.first[docs.start : docs.stop + 1] - words.start]
     return out, np.concatenate(([0], ends))[count]
 
 
+def _kept_texts(w: Words, keep: np.ndarray, limit: int = 1 << 20):
+    """The kept text of each document as bytes; about ``limit`` bytes are laid out at a time."""
+    d, n = 0, len(w.first) - 1
+    while d < n:
+        upto = max(d + 1, int(np.searchsorted(w.offsets, w.offsets[d] + limit, "right")) - 1)
+        text, at = _joined(w, keep, slice(d, upto))
+        view = memoryview(text)
+        yield from (view[a : max(a, b - 1)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        d = upto
+
+
 def _apply(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     """``finish(table, words, keep)`` over each range with its marks."""
     ranges = Ranges(docs)
     marks = repeated_windows(docs.select("doc_id", "text"), ranges, window)
     placed = docs.select(ranges.column().alias("range_no"), *[F.col(f"`{c}`") for c in docs.columns])
 
+    @common.grouped
     def run(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows:
             return finish(table.drop_columns(["range_no"]), None, None)
@@ -225,9 +242,7 @@ def digest(docs: DataFrame, window: int = 20) -> DataFrame:
     def finish(table: pa.Table, w: Words | None, keep) -> pa.Table:
         if w is None:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "n_removed": pa.array([], pa.int64()), "kept_sha256": pa.array([], pa.string())})
-        text, at = _joined(w, keep)
-        view = memoryview(text)
-        sha = [hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        sha = [hashlib.sha256(x).hexdigest() for x in _kept_texts(w, keep)]
         n = np.diff(w.first)
         kept = np.diff(np.concatenate(([0], np.cumsum(keep)))[w.first])
         return pa.table({"doc_id": table["doc_id"], "n_words": pa.array(n.astype(np.int64)), "n_removed": pa.array((n - kept).astype(np.int64)), "kept_sha256": sha})
@@ -247,13 +262,14 @@ def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     def finish(table: pa.Table, w: Words | None, keep) -> pa.Table:
         if w is None:
             return target.empty_table()
-        text, at = _joined(w, keep)
         gone = np.diff(np.concatenate(([0], np.cumsum(~keep)))[w.first]) > 0
+        if not gone.any():
+            return table
         place = table.schema.get_field_index("text")
-        texts = table.column(place).to_pylist()
-        for d in np.flatnonzero(gone).tolist():
-            texts[d] = text[at[d] : max(at[d], at[d + 1] - 1)].tobytes().decode()
-        return table.set_column(place, table.schema.field(place), pa.array(texts, table.schema.field(place).type))
+        kind = table.schema.field(place).type
+        changed = [_joined(w, keep, slice(d, d + 1))[0][:-1].tobytes().decode() for d in np.flatnonzero(gone).tolist()]
+        column = pa.compute.replace_with_mask(table.column(place).combine_chunks(), pa.array(gone), pa.array(changed, kind))
+        return table.set_column(place, table.schema.field(place), column)
 
     return _apply(docs, window, finish, docs.schema)
 

@@ -18,16 +18,14 @@ from . import bpe, common
 from .words import per_document, split_words, text_slices
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
-_ENCODERS: dict = {}
 
 
 def encoder(automaton: bpe.Automaton, learn, name: str) -> bpe.Encoder:
-    """The encoder of this worker process; its memo outlives tasks."""
+    """The encoder of this worker process; its memo outlives tasks, but not the operator."""
     key = (name, automaton.key)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = bpe.Encoder(automaton, learn)
-    return _ENCODERS[key]
+    if key not in common.KEPT:
+        common.KEPT[key] = bpe.Encoder(automaton, learn)
+    return common.KEPT[key]
 
 
 def _cut_at(data: np.ndarray, at: int) -> int:

@@ -90,6 +90,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: int = 256,
     left = rows.withColumn("block", place)
     right = asks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 
+    @common.grouped
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
         if not a.num_rows or not b.num_rows:
