@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import scratch
+
 BLOCK = 4096
 
 
@@ -74,16 +76,23 @@ def consecutive_edges(steps: DataFrame, path: str = "path", order: str = "node_i
 def neighbourhood(edges: DataFrame, seeds: DataFrame, steps: int = 5) -> DataFrame:
     """``node_id, hops`` within ``steps`` undirected edges of ``seeds(node_id)``.
 
-    One frontier a hop; nodes reached before are not walked again, so growth is by nodes and not by walks.
+    One frontier a hop, each written once, until one is empty.  As edges go both ways, what lies behind a
+    frontier is in it or in the one before, so a hop reads the edges and two frontiers and no more.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = seeds.select("node_id").distinct().withColumn("hops", F.lit(0))
-    front = seen.select("node_id")
-    for hop in range(1, steps + 1):
-        reached = front.join(both, front.node_id == both.a).select(F.col("b").alias("node_id")).distinct()
-        front = reached.join(seen, "node_id", "left_anti")
-        seen = seen.unionByName(front.withColumn("hops", F.lit(hop)))
-    return seen
+    both = scratch.cut(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    levels = [scratch.cut(seeds.select("node_id").distinct())]
+    while len(levels) <= steps:
+        reached = both.join(levels[-1], both.a == levels[-1].node_id, "left_semi").select(F.col("b").alias("node_id")).distinct()
+        for known in levels[-2:]:
+            reached = reached.join(known, "node_id", "left_anti")
+        front = scratch.cut(reached)
+        if front.isEmpty():
+            break
+        levels.append(front)
+    out = levels[0].withColumn("hops", F.lit(0))
+    for k, front in enumerate(levels[1:], 1):
+        out = out.unionByName(front.withColumn("hops", F.lit(k)))
+    return out
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame]:
