@@ -75,3 +75,8 @@ def joined(names: Column) -> Column:
 def node_id(raw: Column) -> Column:
     """Quoted and bare ids are the same node; what is no number is null."""
     return raw.cast("string").try_cast("bigint")
+
+
+def every(count: Column, step: int) -> Column:
+    """Whether a running count is at a multiple of ``step``, where reports and snapshots are due."""
+    return (count > 0) & (count % F.lit(step) == 0)

@@ -52,10 +52,11 @@ def variant_regions(variants: DataFrame, nodes: DataFrame, steps: DataFrame, ref
 def region_reads(regions: DataFrame, reads: DataFrame) -> DataFrame:
     """Region documents with the reads whose first known node is theirs behind those that they hold."""
     segments = readers.region_segments(regions)
-    hits = visits.first_hits(visits.visits_of(reads), visits.last_region(segments))
-    summary = hits.join(reads.select("read_id", "name", "sequence"), "read_id")
-    item = F.struct("read_id", F.struct(F.col("name").alias("read_name"), F.coalesce(F.length("sequence"), F.lit(0)).alias("sequence_length"), F.col("offset").alias("mapping_position")).alias("r"))
-    found = summary.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.r).alias("new_reads"))
+    carry = ["name", "sequence_length"]
+    sized = reads.withColumn("sequence_length", F.coalesce(F.length("sequence"), F.lit(0)))
+    hits = visits.first_hits(visits.visits_of(sized, carry), visits.last_region(segments), carry)
+    item = F.struct("read_id", F.struct(F.col("name").alias("read_name"), "sequence_length", F.col("offset").alias("mapping_position")).alias("r"))
+    found = hits.groupBy("region").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x.r).alias("new_reads"))
     return visits.append_reads(regions, found)
 
 
@@ -73,15 +74,26 @@ def region_read_names(regions: DataFrame, alignments: DataFrame, exact: bool = T
     return out.select("region", F.coalesce("read_names", F.array().cast("array<string>")).alias("read_names"), F.coalesce(F.size("read_names"), F.lit(0)).alias("n"))
 
 
-def node_reads(reads: DataFrame, nodes: DataFrame, multiset: bool = True) -> DataFrame:
-    """Reads grouped by the path nodes that they visit: once a visit, or once a node."""
-    details = readers.read_details(reads)
+def node_reads(reads: DataFrame, nodes: DataFrame, multiset: bool = True, span: int | None = None) -> DataFrame:
+    """Reads grouped by the path nodes that they visit: once a visit, or once a node.
+
+    A read has ``read_name, sequence, mapping_quality, score, quality, path``.  ``span`` spreads a node's
+    reads over rows of bounded size, see :func:`visits.group_reads`.
+    """
+    detail = F.struct("read_name", "sequence", "mapping_quality", "score", "quality", "path")
+    details = readers.read_details(reads).select("read_id", detail.alias("detail"))
     rows = visits.by_node(visits.visits_of(reads), nodes, multiset).join(details, "read_id")
-    keys = ["node_id", *[c for c in nodes.columns if c != "node_id"]]
-    grouped = visits.group_reads(rows, keys, ["read_name", "sequence_of_read", "mapping_quality", "score", "quality", "path"]) if "sequence" not in nodes.columns else visits.group_reads(
-        visits.by_node(visits.visits_of(reads), nodes, multiset).join(details.withColumnRenamed("sequence", "read_sequence"), "read_id"),
-        keys, ["read_name", "read_sequence", "mapping_quality", "score", "quality", "path"])
-    return grouped
+    grouped = visits.group_reads(rows, ["node_id", *[c for c in nodes.columns if c != "node_id"]], ["detail"], span)
+    return grouped.withColumn("reads", F.transform("reads", lambda x: x.detail))
+
+
+def path_node_list(nodes: DataFrame, steps: DataFrame, path: str) -> DataFrame:
+    """``node_id, sequence`` of the nodes on a named path; no such path is an error."""
+    on_path = steps.where(F.col("path") == path).select("node_id").distinct()
+    found = nodes.join(on_path, "node_id", "left_semi").select("node_id", "sequence")
+    if found.isEmpty():
+        raise readers.InputError(f"no path {path}")
+    return found
 
 
 def pileup(variants: DataFrame, reads: DataFrame, flank: int = 200) -> DataFrame:
@@ -101,10 +113,13 @@ def pileup(variants: DataFrame, reads: DataFrame, flank: int = 200) -> DataFrame
 
 
 def position_neighbourhood(nodes: DataFrame, edges: DataFrame, path: str, position: int, context: int = 5) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges within ``context`` steps of the node at a path position; no node there is an error."""
+    """Nodes and edges within ``context`` steps of the node at a path position; no node there, or none around it, is an error."""
     spark = nodes.sparkSession
     point = spark.createDataFrame([(path, position)], "path string, pos long")
     seed = paths.locate(nodes, point).where(F.col("node_id").isNotNull()).select("node_id")
     if seed.isEmpty():
         raise readers.InputError(f"no node at {path}:{position}")
-    return paths.subgraph(nodes, edges, paths.neighbourhood(edges, seed, context))
+    near, links = paths.subgraph(nodes, edges, paths.neighbourhood(edges, seed, context))
+    if near.isEmpty():
+        raise readers.InputError(f"no nodes around {path}:{position}")
+    return near, links

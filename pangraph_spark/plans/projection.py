@@ -13,7 +13,6 @@ from ..functions.scalars import region_label, window_start
 from ..operators import paths
 
 FLANK = 100
-VARIANT_EVERY = 25  # in SQL only
 EPOCH = "timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts as timestamp_ntz))"
 
 
@@ -49,8 +48,15 @@ class Graph:
         return rows.select(F.col("l_orderkey").cast("long").alias("read_id"), F.row_number().over(order).cast("long").alias("rank"), F.col("l_partkey").cast("long").alias("node_id"), F.col("l_quantity").cast("long").alias("offset"))
 
     def plain_visits(self) -> DataFrame:
-        """Visits where their order does not matter: no window, no shuffle."""
-        return self.table("lineitem").select(F.col("l_orderkey").cast("long").alias("read_id"), F.col("l_partkey").cast("long").alias("node_id"), F.col("l_quantity").cast("long").alias("offset"))
+        """Visits with their line number, where ranks without gaps are not needed: no window, no shuffle."""
+        return self.table("lineitem").select(F.col("l_orderkey").cast("long").alias("read_id"), F.col("l_linenumber").cast("long").alias("rank"), F.col("l_partkey").cast("long").alias("node_id"), F.col("l_quantity").cast("long").alias("offset"))
+
+    def reads(self) -> DataFrame:
+        """Reads with their visits as a nested path; a read has few."""
+        rows = self.plain_visits()
+        step = F.struct("rank", F.struct(F.struct("node_id", "offset").alias("position")).alias("m"))
+        found = rows.groupBy("read_id").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+        return found.select("read_id", F.struct(F.transform("steps", lambda x: x.m).alias("mapping")).alias("path"))
 
     def variants(self) -> DataFrame:
         """One variant at each node's start."""
@@ -88,7 +94,7 @@ visits AS (
   SELECT CAST(l_orderkey AS BIGINT) AS read_id, CAST(l_partkey AS BIGINT) AS node_id, CAST(l_quantity AS BIGINT) AS "offset",
     row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS rank
   FROM lineitem),
-variants AS (SELECT node_id // {VARIANT_EVERY} AS ordinal, path, start_offset AS pos FROM nodes WHERE node_id % {VARIANT_EVERY} = 0),
+variants AS (SELECT node_id AS ordinal, path, start_offset AS pos FROM nodes),
 regions AS (
   SELECT ordinal, path, pos - {FLANK} AS lo, pos + {FLANK} AS hi,
     'REF#0#' || path || ':' || CAST(pos - {FLANK} AS VARCHAR) || '-' || CAST(pos + {FLANK} AS VARCHAR) AS region

@@ -14,6 +14,7 @@ from .projection import SQL_TABLES, Graph
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 IDS = [3, 14, 159, 265, 358, 979]
+SPAN = 1 << 16  # read ids in one row of grouped reads
 
 
 def _query(sql: str):
@@ -28,7 +29,7 @@ def _query(sql: str):
 @_query("SELECT DISTINCT read_id FROM visits WHERE node_id IN (3, 14, 159, 265, 358, 979)")
 def reads_hitting_ids(g: Graph) -> DataFrame:
     """Reads that visit any node of a literal list."""
-    return g.plain_visits().where(F.col("node_id").isin(IDS)).select("read_id").distinct()
+    return visits.hitting_ids(g.reads(), IDS).select("read_id")
 
 
 @_query("SELECT node_id, region FROM last_region")
@@ -56,7 +57,7 @@ def distinct_reads_per_region(g: Graph) -> DataFrame:
 
 @_query(
     """SELECT r.region, coalesce(c.reads, 0) AS reads FROM regions r LEFT JOIN (
-      SELECT region, count(DISTINCT read_id) AS reads FROM visits JOIN region_segments USING (node_id) WHERE read_id < 200 GROUP BY region) c ON c.region = r.region"""
+      SELECT region, count(DISTINCT read_id) AS reads FROM visits JOIN region_segments USING (node_id) GROUP BY region) c ON c.region = r.region"""
 )
 def regions_with_empty(g: Graph) -> DataFrame:
     """All regions with their number of distinct reads, also where there are none."""
@@ -65,27 +66,33 @@ def regions_with_empty(g: Graph) -> DataFrame:
 
 
 @_query(
-    """SELECT n.node_id, n.sequence, n.length, string_agg(CAST(v.read_id AS VARCHAR), ',' ORDER BY v.read_id) AS reads, count(*) AS n_reads
+    f"""SELECT n.node_id, n.sequence, n.length, v.read_id // {SPAN} AS part, string_agg(CAST(v.read_id AS VARCHAR), ',' ORDER BY v.read_id) AS reads, count(*) AS n_reads
     FROM (SELECT DISTINCT read_id, node_id FROM visits) v JOIN nodes n USING (node_id) GROUP BY ALL"""
 )
 def reads_by_node_set(g: Graph) -> DataFrame:
     """Nodes with the reads that visit them, each read once."""
-    rows = g.plain_visits().select("read_id", "node_id").distinct().join(g.raw_nodes(), "node_id")
-    return rows.groupBy("node_id", "sequence", "length").agg(F.array_join(F.transform(F.array_sort(F.collect_list("read_id")), lambda x: x.cast("string")), ",").alias("reads"), F.count("*").alias("n_reads"))
+    rows = visits.by_node(g.plain_visits(), g.raw_nodes(), multiset=False)
+    return _listed(visits.group_reads(rows, ["node_id", "sequence", "length"], [], SPAN))
 
 
 @_query(
-    """SELECT n.node_id, n.strand, n.length, string_agg(CAST(v.read_id AS VARCHAR), ',' ORDER BY v.read_id) AS reads, count(*) AS n_reads
+    f"""SELECT n.node_id, n.strand, n.length, v.read_id // {SPAN} AS part, string_agg(CAST(v.read_id AS VARCHAR), ',' ORDER BY v.read_id) AS reads, count(*) AS n_reads
     FROM visits v JOIN nodes n USING (node_id) GROUP BY ALL"""
 )
 def reads_by_node_multiset(g: Graph) -> DataFrame:
     """Nodes with the reads that visit them, once a visit."""
-    rows = g.plain_visits().select("read_id", "node_id").join(g.raw_nodes(), "node_id")
-    return rows.groupBy("node_id", "strand", "length").agg(F.array_join(F.transform(F.array_sort(F.collect_list("read_id")), lambda x: x.cast("string")), ",").alias("reads"), F.count("*").alias("n_reads"))
+    rows = visits.by_node(g.plain_visits(), g.raw_nodes(), multiset=True)
+    return _listed(visits.group_reads(rows, ["node_id", "strand", "length"], [], SPAN))
+
+
+def _listed(grouped: DataFrame) -> DataFrame:
+    """Grouped reads as text and their number."""
+    ids = F.transform("reads", lambda r: r.read_id.cast("string"))
+    return grouped.withColumns({"n_reads": F.size("reads").cast("long"), "reads": F.array_join(ids, ",")})
 
 
 @_query(
-    """, windows AS (SELECT read_id AS variant_id, contig, greatest(0, start - 20000) AS lo, start + 20000 AS hi FROM linear_reads WHERE read_id % 50 = 0)
+    """, windows AS (SELECT read_id AS variant_id, contig, greatest(0, start - 20000) AS lo, start + 20000 AS hi FROM linear_reads)
     SELECT w.variant_id, r.read_id FROM windows w JOIN linear_reads r ON r.contig = w.contig AND r.start < w.hi AND r."end" > w.lo"""
 )
 def variant_read_overlap(g: Graph) -> DataFrame:
@@ -95,13 +102,13 @@ def variant_read_overlap(g: Graph) -> DataFrame:
 
 @_query(
     """, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
-    walk(node_id, hops) AS (SELECT CAST(500 AS BIGINT), 0 UNION SELECT b.b, w.hops + 1 FROM walk w JOIN both_ways b ON b.a = w.node_id WHERE w.hops < 3)
+    walk(node_id, hops) AS (SELECT CAST(500 AS BIGINT), 0 UNION SELECT b.b, w.hops + 1 FROM walk w JOIN both_ways b ON b.a = w.node_id WHERE w.hops < 5)
     SELECT node_id, min(hops) AS hops FROM walk GROUP BY node_id"""
 )
 def neighbourhood_khop(g: Graph) -> DataFrame:
-    """Nodes within three edges of node 500."""
+    """Nodes within five edges of node 500."""
     seed = g.spark.range(500, 501).select(F.col("id").alias("node_id"))
-    return paths.neighbourhood(g.edges(), seed, 3)
+    return paths.neighbourhood(g.edges(), seed, 5)
 
 
 @_query(
@@ -124,13 +131,12 @@ def name_contains(g: Graph) -> DataFrame:
     """Reads whose name contains an id as text, by the historic substring rule."""
     ids = g.table("part").select(F.col("p_size").cast("string").alias("id")).distinct()
     names = g.table("orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("name"))
-    hits = names.join(visits.small(ids), F.col("name").contains(F.col("id")))
+    hits = visits.containing(names, "name", ids)
     return hits.groupBy("id").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first_read"))
 
 
 @_query(
-    """SELECT s.path, s.node_id, s.strand, n.sequence, n.length FROM steps s LEFT JOIN (SELECT * FROM nodes WHERE node_id < 500) n USING (node_id)
-    WHERE s.path LIKE 'Brand#1%'"""
+    "SELECT s.path, s.node_id, s.strand, n.sequence, n.length FROM steps s LEFT JOIN nodes n USING (node_id)"
 )
 def path_nodes_left_join_segments(g: Graph) -> DataFrame:
     """Path nodes with their segment lines; those without keep their strand."""
@@ -152,13 +158,16 @@ def node_paths_distinct(g: Graph) -> DataFrame:
     return found.select("node_id", F.size("paths").cast("long").alias("n_paths"), F.array_join(F.array_sort("paths"), ",").alias("paths"))
 
 
-@_query("""SELECT node_id, count(*) AS n, string_agg(CAST(read_id AS VARCHAR), ',' ORDER BY read_id % 2, read_id) AS reads FROM visits GROUP BY node_id""")
+@_query(
+    """SELECT node_id, 'batch ' || CAST(min(read_id % 2) AS VARCHAR) AS description, count(*) AS n,
+      string_agg(CAST(read_id AS VARCHAR), ',' ORDER BY read_id % 2, read_id) AS reads FROM visits GROUP BY node_id"""
+)
 def merge_batches(g: Graph) -> DataFrame:
-    """Two batches grouped by node and merged: even reads first, odd ones behind them."""
-    rows = g.plain_visits().withColumn("rank", F.col("read_id"))
-    part = lambda k: visits.group_reads(rows.where(F.col("read_id") % 2 == k), ["node_id"], ["read_id"])
+    """Two batches grouped by node and merged: even reads first, odd ones behind them; the first description stays."""
+    rows = g.plain_visits()
+    part = lambda k: visits.group_reads(rows.where(F.col("read_id") % 2 == k), ["node_id"], []).withColumn("description", F.lit(f"batch {k}"))
     merged = visits.merge_groups([part(0), part(1)])
-    return merged.select("node_id", F.size("reads").cast("long").alias("n"), F.array_join(F.transform("reads", lambda r: r.read_id.cast("string")), ",").alias("reads"))
+    return merged.select("node_id", "description", F.size("reads").cast("long").alias("n"), F.array_join(F.transform("reads", lambda r: r.read_id.cast("string")), ",").alias("reads"))
 
 
 @_query(
@@ -191,14 +200,15 @@ def append_existing_reads(g: Graph) -> DataFrame:
 
 
 @_query(
-    """SELECT node_id, CASE WHEN starts_with(label, 'chr') THEN label ELSE 'chr' || label END AS chrom FROM (
-      SELECT node_id, CASE WHEN node_id % 2 = 0 THEN 'chr3' ELSE '3' END AS label FROM nodes WHERE path = 'Brand#3')"""
+    """, named AS (SELECT node_id, CASE WHEN node_id % 2 = 0 THEN 'chr' ELSE '' END || substr(path, 7) AS label FROM nodes)
+    SELECT node_id, CASE WHEN starts_with(label, 'chr') THEN label ELSE 'chr' || label END AS chrom,
+      label IN ('3', 'chr3') AS wanted FROM named"""
 )
 def chromosome_filter_prefix(g: Graph) -> DataFrame:
-    """One path's nodes under a chromosome name that is given with and without its prefix."""
-    rows = g.raw_nodes().where(F.col("path") == "Brand#3")
-    label = F.when(F.col("node_id") % 2 == 0, F.lit("chr3")).otherwise(F.lit("3"))
-    return rows.select("node_id", scalars.with_chr(label).alias("chrom"))
+    """All nodes' chromosome, named with and without its prefix, and whether it is the one asked for as ``3``."""
+    label = F.concat(F.when(F.col("node_id") % 2 == 0, F.lit("chr")).otherwise(F.lit("")), F.expr("substr(path, 7)"))
+    chrom = scalars.with_chr(label)
+    return g.raw_nodes().select("node_id", chrom.alias("chrom"), (chrom == scalars.with_chr(F.lit("3"))).alias("wanted"))
 
 
 @_query("SELECT ordinal, region, path || ':' || CAST(lo + 100 AS VARCHAR) AS key FROM regions")
@@ -207,18 +217,17 @@ def region_label(g: Graph) -> DataFrame:
     return g.regions().select("ordinal", "region", scalars.position_key(F.col("path"), F.col("lo") + 100).alias("key"))
 
 
-WALKS = [(1, ">12<7>305"), (2, "<9<10>9")]
-
-
 @_query(
-    """, walks(walk_id, walk) AS (VALUES (CAST(1 AS BIGINT), '>12<7>305'), (CAST(2 AS BIGINT), '<9<10>9'))
-    SELECT walk_id, array_to_string(regexp_extract_all(walk, '([><])([^><]+)', 1), '') AS strands,
+    """, walks AS (SELECT l_orderkey AS walk_id, l_linenumber AS part, '>' || CAST(l_partkey AS VARCHAR) || '<' || CAST(l_suppkey AS VARCHAR) || '>' || CAST(l_orderkey AS VARCHAR) AS walk FROM lineitem)
+    SELECT walk_id, part, array_to_string(regexp_extract_all(walk, '([><])([^><]+)', 1), '') AS strands,
       array_to_string(regexp_extract_all(walk, '([><])([^><]+)', 2), ',') AS nodes FROM walks"""
 )
 def walk_tokenise(g: Graph) -> DataFrame:
     """Strands and node ids of walks."""
-    walks = g.spark.createDataFrame(WALKS, "walk_id long, walk string")
-    return walks.select("walk_id", F.array_join(scalars.walk_strands(F.col("walk")), "").alias("strands"), F.array_join(scalars.walk_nodes(F.col("walk")), ",").alias("nodes"))
+    line = g.table("lineitem")
+    walk = F.concat(F.lit(">"), F.col("l_partkey").cast("string"), F.lit("<"), F.col("l_suppkey").cast("string"), F.lit(">"), F.col("l_orderkey").cast("string"))
+    walks = line.select(F.col("l_orderkey").alias("walk_id"), F.col("l_linenumber").alias("part"), walk.alias("walk"))
+    return walks.select("walk_id", "part", F.array_join(scalars.walk_strands(F.col("walk")), "").alias("strands"), F.array_join(scalars.walk_nodes(F.col("walk")), ",").alias("nodes"))
 
 
 @_query(
@@ -275,7 +284,7 @@ def region_document(g: Graph) -> DataFrame:
 
 
 @_query(
-    """, windows AS (SELECT read_id AS variant_id, contig, greatest(0, start - 20000) AS lo, start + 20000 AS hi FROM linear_reads WHERE read_id % 50 = 0)
+    """, windows AS (SELECT read_id AS variant_id, contig, greatest(0, start - 20000) AS lo, start + 20000 AS hi FROM linear_reads)
     SELECT w.contig || ':' || CAST(w.lo AS VARCHAR) AS key, count(r.read_id) AS n_reads FROM windows w
     LEFT JOIN linear_reads r ON r.contig = w.contig AND r.start < w.hi AND r."end" > w.lo GROUP BY w.variant_id, w.contig, w.lo"""
 )

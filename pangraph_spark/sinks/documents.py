@@ -52,6 +52,44 @@ def write_array(df: DataFrame, path: str, indent: int = 4, order: str | None = N
     _atomic(path, write)
 
 
+def write_parts(df: DataFrame, path: str, key: str, grow: str, part: str = "part", indent: int = 2) -> None:
+    """All rows as one JSON object by ``key``; rows of one key, by ``part``, have pieces of the list ``grow``.
+
+    A key's list is written piece by piece, so no more than one row of it is held at a time.
+    """
+    rest = [c for c in df.columns if c not in (key, part, grow)]
+    rows = df.orderBy(key, part).select(F.col(key).cast("string").alias("k"), _as_json(df, rest).alias("j"), F.transform(grow, lambda x: F.to_json(x, {"ignoreNullFields": "false"})).alias("pieces"))
+
+    def write(f):
+        last = None
+        pad = "\n" + " " * indent
+        for r in rows.toLocalIterator():
+            if r.k != last:
+                f.write(("{" if last is None else f"{pad}{' ' * indent}]{pad}}},") + pad + json.dumps(r.k, ensure_ascii=False) + ": {")
+                for name, value in json.loads(r.j).items():
+                    f.write(f"{pad}{' ' * indent}{json.dumps(name)}: {json.dumps(value, ensure_ascii=False)},")
+                f.write(f"{pad}{' ' * indent}{json.dumps(grow)}: [")
+                last, first = r.k, True
+            for x in r["pieces"]:
+                f.write(("" if first else ",") + f"{pad}{' ' * (2 * indent)}" + x)
+                first = False
+        f.write("{}" if last is None else f"{pad}{' ' * indent}]{pad}}}\n}}")
+
+    _atomic(path, write)
+
+
+def write_graph(nodes: DataFrame, edges: DataFrame, write, indent: int = 4) -> None:
+    """Nodes and edges as one JSON object, handed piece by piece to ``write``."""
+    ends = edges.select(F.col("a").cast("string").alias("from"), F.col("b").cast("string").alias("to"), *[c for c in edges.columns if c not in ("a", "b")])
+    lists = {"node": nodes.select(F.col("node_id").cast("string").alias("id"), "sequence").orderBy("id"), "edge": ends.orderBy("from", "to")}
+    for k, (name, rows) in enumerate(lists.items()):
+        write(("{" if k == 0 else ",") + "\n" + " " * indent + f'"{name}": [')
+        for n, r in enumerate(rows.select(_as_json(rows, rows.columns).alias("j")).toLocalIterator()):
+            write((",\n" if n else "\n") + " " * 2 * indent + _pretty(r.j, indent).replace("\n", "\n" + " " * indent))
+        write("\n" + " " * indent + "]")
+    write("\n}\n")
+
+
 def write_object(df: DataFrame, path: str, key: str, indent: int = 2, order: str | None = None, wrap: str | None = None) -> None:
     """All rows as one JSON object by ``key``, inside an object of one field if ``wrap`` names it."""
     columns = [c for c in df.columns if c not in (key, order)]
