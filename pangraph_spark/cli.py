@@ -22,7 +22,7 @@ def session(threads: int | None = None) -> SparkSession:
 
 
 def _reads(spark, path):
-    return frames.reads_of(frames.gam_frames(spark, path)) if path.endswith((".frames", ".pb")) else readers.gam_json(spark, path)
+    return frames.reads_of(frames.gam_frames(spark, path)) if path.endswith((".frames", ".pb")) else readers.gam(spark, path)
 
 
 def _placed(spark, graph, reference, chromosome):
@@ -49,8 +49,9 @@ def main(argv: list[str] | None = None) -> int:
     command("hits", (["gam_file"], {}), (["segment_ids"], {"nargs": "+"}))
     command("region-names", (["json_file"], {}), (["alignment_file"], {}), (["--substring"], {"action": "store_true"}))
     command("region-reads", (["json_file"], {}), (["gam_file"], {}), (["output_json"], {}))
-    command("node-reads", (["-g", "--gam"], req), (["-n"], req), (["-j"], req), (["--set"], {"action": "store_true"}))
+    command("node-reads", (["-g", "--gam"], req), (["-n"], req), (["-j"], req), (["--set"], {"action": "store_true"}), (["--span"], {"type": int, "default": 1 << 16}))
     command("path-nodes", (["--gfa"], req), (["-r"], req), (["-c"], req), (["-n"], req), (["--substring"], {"action": "store_true"}))
+    command("path-node-list", (["-x"], req), (["-p"], req), (["-n"], req))
     command("pileup", (["-b"], req), (["-v"], req), (["-o"], req), (["--flank"], {"type": int, "default": 200}))
     command("neighbourhood", (["path"], {}), (["position"], {"type": int}), (["graph"], {}), (["--context"], {"type": int, "default": 5}))
     a = p.parse_args(argv)
@@ -65,9 +66,10 @@ def main(argv: list[str] | None = None) -> int:
             nodes, _, steps = _placed(spark, a.x, a.reference, None)
             found, skipped = pipelines.variant_regions(readers.variants_json(spark, a.j), nodes, steps, a.reference, a.window)
             documents.write_object(found, a.o, "region", order="ordinal")
-            print("\n".join(r.message for r in skipped.orderBy("ordinal").limit(100).toLocalIterator()), end="")
+            for r in skipped.orderBy("ordinal").toLocalIterator():
+                print(r.message)
         elif a.command == "hits":
-            rows = visits.hitting_ids(readers.gam_json(spark, a.gam_file), a.segment_ids).orderBy("read_id")
+            rows = visits.hitting_ids(readers.gam(spark, a.gam_file), a.segment_ids).orderBy("read_id")
             print(", ".join(r.name for r in rows.select("name").toLocalIterator()))
         elif a.command == "region-names":
             found = pipelines.region_read_names(readers.regions_json(spark, a.json_file), readers.alignments(spark, a.alignment_file), not a.substring)
@@ -78,17 +80,19 @@ def main(argv: list[str] | None = None) -> int:
             documents.write_object(pipelines.region_reads(regions, _reads(spark, a.gam_file)), a.output_json, "region", order="ordinal")
         elif a.command == "node-reads":
             nodes = readers.node_list_json(spark, a.n) if a.set else readers.node_map_json(spark, a.n)
-            documents.write_object(pipelines.node_reads(_reads(spark, a.gam), nodes, not a.set), a.j, "node_id")
+            documents.write_parts(pipelines.node_reads(_reads(spark, a.gam), nodes, not a.set, span=a.span), a.j, "node_id", "reads")
         elif a.command == "path-nodes":
             documents.write_node_map(readers.gfa_path_nodes(spark, a.gfa, a.r, a.c, not a.substring), a.n)
+        elif a.command == "path-node-list":
+            nodes, _, steps = readers.graph_json(spark, a.x)
+            documents.write_node_list(pipelines.path_node_list(nodes, steps, a.p), a.n)
         elif a.command == "pileup":
             reads = bam.bam(spark, a.b) if a.b.endswith(".bam") else readers.sam(spark, a.b).withColumnRenamed("ordinal", "read_no")
             documents.write_object(pipelines.pileup(readers.vcf_text(spark, a.v), reads, a.flank), a.o, "key")
         elif a.command == "neighbourhood":
             nodes, edges, _ = _placed(spark, a.graph, None, None)
             near, links = pipelines.position_neighbourhood(nodes, edges, a.path, a.position, a.context)
-            print("\n".join(documents.report(near.select("node_id", "sequence"), "node_id", 100)))
-            print("\n".join(documents.report(links, "a", 100)))
+            documents.write_graph(near, links, sys.stdout.write)
     except (readers.InputError, FileNotFoundError) as e:
         print(f"error: {e}", file=sys.stderr)
         return 1

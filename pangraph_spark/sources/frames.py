@@ -1,27 +1,47 @@
-"""Binary graph reads: length-prefixed messages, decoded by a small reader of the wire format.
+"""Binary graph reads, decoded by a small reader of the wire format.
 
-A frame is an unsigned 32-bit little-endian length and an alignment message of that many bytes.  A frame
-file cannot be split, as lengths are only known in sequence, so parallelism is by file.
+Two containers hold alignment messages.  A frame file is a sequence of unsigned 32-bit little-endian lengths,
+each with a message of that many bytes.  A ``.gam`` is gzip members one after another; inflated it is groups,
+each a count of items and, for every item, a length and its bytes; the first item may be a tag that names the
+kind of messages.  Neither can be split, as lengths are only known in sequence: framing is by file, while the
+messages are dealt over all tasks before they are decoded.
 """
 
 from __future__ import annotations
 
 import struct
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..package import ship
+from . import schemas
 
-SCHEMA = (
-    "file string, frame long, error string, name string, sequence string, mapping_quality int, score int, quality binary, "
-    "path struct<mapping:array<struct<position:struct<node_id:string, offset:string>>>>"
-)
+PATH = schemas.READ_JSON.split("path ", 1)[1]
+SCHEMA = f"file string, file_no int, frame long, error string, name string, sequence string, mapping_quality int, score int, quality binary, path {PATH}"
+FRAME = "file string, file_no int, frame long, error string, message binary"
 
-# Field numbers of the messages on the way to a visit.
-ALIGNMENT_SEQUENCE, ALIGNMENT_PATH, ALIGNMENT_NAME, ALIGNMENT_QUALITY, ALIGNMENT_MAPQ, ALIGNMENT_SCORE = 1, 2, 3, 4, 5, 6
-PATH_MAPPING, MAPPING_POSITION, POSITION_NODE, POSITION_OFFSET = 2, 1, 1, 2
+# Field numbers of the messages that make up a read.
+NUMBERS = {
+    "Alignment": {"sequence": 1, "path": 2, "name": 3, "quality": 4, "mapping_quality": 5, "score": 6},
+    "Path": {"name": 1, "mapping": 2},
+    "Mapping": {"position": 1, "edit": 2, "rank": 5},
+    "Position": {"node_id": 1, "offset": 2, "is_reverse": 4},
+    "Edit": {"from_length": 1, "to_length": 2, "sequence": 3},
+}
+ZERO = {"string": "", "binary": b"", "long": 0, "int": 0, "boolean": False}
+TAG = b"GAM"
+
+
+def _fields_of(name: str) -> dict:
+    """``number -> (field, type, repeated)`` of a message."""
+    types = dict(x.split(":") for x in schemas.MESSAGES[name].split())
+    return {n: (f, types[f].rstrip("*"), types[f].endswith("*")) for f, n in NUMBERS[name].items()}
+
+
+FIELDS = {name: _fields_of(name) for name in NUMBERS}
 
 
 def varint(data: bytes, at: int) -> tuple[int, int]:
@@ -63,30 +83,25 @@ def signed(value: int, bits: int = 64) -> int:
     return value - (1 << bits) if value >> (bits - 1) else value
 
 
-def decode_alignment(data: bytes) -> dict:
-    """What the operators need of an alignment; absent scalars have their zero values."""
-    out = {"name": "", "sequence": "", "mapping_quality": 0, "score": 0, "quality": b"", "mapping": []}
-    for n, v in fields(data):
-        if n == ALIGNMENT_SEQUENCE:
-            out["sequence"] = v.decode()
-        elif n == ALIGNMENT_NAME:
-            out["name"] = v.decode()
-        elif n == ALIGNMENT_QUALITY:
-            out["quality"] = bytes(v)
-        elif n == ALIGNMENT_MAPQ:
-            out["mapping_quality"] = signed(v, 32)
-        elif n == ALIGNMENT_SCORE:
-            out["score"] = signed(v, 32)
-        elif n == ALIGNMENT_PATH:
-            for pn, pv in fields(v):
-                if pn == PATH_MAPPING:
-                    node = offset = 0
-                    for mn, mv in fields(pv):
-                        if mn == MAPPING_POSITION:
-                            for k, x in fields(mv):
-                                node = signed(x) if k == POSITION_NODE else node
-                                offset = signed(x) if k == POSITION_OFFSET else offset
-                    out["mapping"].append((node, offset))
+def decode(data: bytes, name: str = "Alignment") -> dict:
+    """A message by field name; absent scalars have their zero values, absent messages are None."""
+    out = {f: [] if many else ZERO.get(kind) for f, kind, many in FIELDS[name].values()}
+    for number, value in fields(data):
+        if number not in FIELDS[name]:
+            continue
+        field, kind, many = FIELDS[name][number]
+        if kind in FIELDS:
+            value = decode(value, kind)
+        elif kind == "string":
+            value = value.decode()
+        elif kind == "boolean":
+            value = bool(value)
+        elif kind != "binary":
+            value = signed(value, 32 if kind == "int" else 64)
+        if many:
+            out[field].append(value)
+        else:
+            out[field] = value
     return out
 
 
@@ -106,43 +121,156 @@ def frames(data: bytes):
         at += size
 
 
-def _rows(file: str, data: bytes):
-    for k, (message, error) in enumerate(frames(data)):
-        row = {"file": file, "frame": k, "error": error, "name": None, "sequence": None, "mapping_quality": None, "score": None, "quality": None, "path": None}
-        if error is None:
+def groups(inflated):
+    """``(message, error)`` of each item of an inflated ``.gam``, given as an iterator of pieces; tags are left out."""
+    held, at = bytearray(), 0
+
+    def more() -> bool:
+        nonlocal held, at
+        piece = next(inflated, None)
+        if piece is None:
+            return False
+        held = held[at:] + piece
+        at = 0
+        return True
+
+    def number() -> int | None:
+        nonlocal at
+        while True:
             try:
-                a = decode_alignment(message)
-                row |= {c: a[c] for c in ("name", "sequence", "mapping_quality", "score", "quality")}
-                row["path"] = {"mapping": [{"position": {"node_id": str(n), "offset": str(o)}} for n, o in a["mapping"]]}
-            except (ValueError, UnicodeDecodeError) as e:
-                row["error"] = f"undecodable frame: {e}"
-        yield row
+                value, after = varint(held, at)
+                at = after
+                return value
+            except ValueError:
+                if len(held) - at > 10 or not more():
+                    return None
 
+    def take(size: int) -> bytes | None:
+        nonlocal at
+        while len(held) - at < size:
+            if not more():
+                return None
+        out = bytes(held[at : at + size])
+        at += size
+        return out
 
-def gam_frames(spark: SparkSession, path: str) -> DataFrame:
-    """All frames with ``error`` set where one could not be read."""
+    try:
+        while True:
+            count = number()
+            if count is None:
+                if len(held) > at:
+                    yield None, "truncated group"
+                return
+            for k in range(count):
+                size = number()
+                item = None if size is None else take(size)
+                if item is None:
+                    yield None, "truncated message"
+                    return
+                if not (k == 0 and item == TAG):
+                    yield item, None
+    except zlib.error as e:
+        yield None, f"damaged compression: {e}"
+
+
+def inflate(data: bytes, step: int = 1 << 20):
+    """Pieces of the gzip members of ``data``; bytes behind the last member that are none are an error."""
+    at = 0
+    while at < len(data):
+        engine = zlib.decompressobj(31)
+        while not engine.eof:
+            if at >= len(data):
+                raise zlib.error("truncated member")
+            piece = data[at : at + step]
+            at += len(piece)
+            while True:
+                out = engine.decompress(piece, step)
+                if out:
+                    yield out
+                piece = engine.unconsumed_tail
+                if not piece and len(out) < step:
+                    break
+        at -= len(engine.unused_data)
+
+
+def _decoded(file: str, file_no: int, frame: int, error: str | None, message: bytes | None) -> dict:
+    row = {"file": file, "file_no": file_no, "frame": frame, "error": error, "name": None, "sequence": None, "mapping_quality": None, "score": None, "quality": None, "path": None}
+    if error is None:
+        try:
+            a = decode(message)
+            row |= {c: a[c] for c in ("name", "sequence", "mapping_quality", "score", "quality")}
+            steps = []
+            for m in (a["path"] or {"mapping": []})["mapping"]:
+                p = m["position"] or {"node_id": 0, "offset": 0, "is_reverse": False}
+                steps.append({"position": {"node_id": str(p["node_id"]), "offset": str(p["offset"]), "is_reverse": p["is_reverse"]}, "edit": m["edit"], "rank": str(m["rank"])})
+            row["path"] = {"name": (a["path"] or {"name": ""})["name"], "mapping": steps}
+        except (ValueError, TypeError, AttributeError, UnicodeDecodeError) as e:
+            row["error"] = f"undecodable frame: {e}"
+    return row
+
+
+def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    target = to_arrow_schema(spark.createDataFrame([], SCHEMA).schema)
+    return to_arrow_schema(spark.createDataFrame([], ddl).schema)
+
+
+def _messages(spark: SparkSession, path: str, split, held_bytes: int = 8 << 20) -> DataFrame:
+    """All messages of the files, framed by ``split(content)`` and dealt over the tasks that decode them."""
+    from .readers import file_numbers
 
-    def decode(batches):
+    names = file_numbers(spark.read.format("binaryFile").load(path).select(F.col("path").alias("file")), "file_no")
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content").join(names, "file")
+    target = _arrow_schema(spark, FRAME)
+
+    def cut(batches):
         for batch in batches:
-            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held = []
-                for row in _rows(file, content):
-                    held.append(row)
-                    if len(held) == 5000:
+            for file, content, number in zip(*[batch.column(k) for k in range(3)], strict=True):
+                held, size = [], 0
+                for k, (message, error) in enumerate(split(content.as_py())):
+                    held.append({"file": file.as_py(), "file_no": number.as_py(), "frame": k, "error": error, "message": message})
+                    size += len(message or b"") + 100
+                    if size > held_bytes:
                         yield pa.RecordBatch.from_pylist(held, target)
-                        held = []
+                        held, size = [], 0
                 if held:
                     yield pa.RecordBatch.from_pylist(held, target)
 
     ship(spark)
-    return files.mapInArrow(decode, SCHEMA)
+    return files.select("file", "content", "file_no").mapInArrow(cut, FRAME)
+
+
+def _reads(spark: SparkSession, messages: DataFrame) -> DataFrame:
+    target = _arrow_schema(spark, SCHEMA)
+
+    def run(batches):
+        for batch in batches:
+            rows = [_decoded(*x) for x in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True)]
+            if rows:
+                yield pa.RecordBatch.from_pylist(rows, target)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return messages.repartition(parts, "file_no", F.floor(F.col("frame") / 1024)).mapInArrow(run, SCHEMA)
+
+
+def gam_frames(spark: SparkSession, path: str) -> DataFrame:
+    """All frames with ``error`` set where one could not be read."""
+    return _reads(spark, _messages(spark, path, frames))
+
+
+def gam_groups(spark: SparkSession, path: str) -> DataFrame:
+    """All messages of ``.gam`` files with ``error`` set where one could not be read."""
+    return _reads(spark, _messages(spark, path, lambda content: groups(inflate(content))))
+
+
+def is_compressed(spark: SparkSession, path: str) -> bool:
+    """Whether a file begins as a gzip member does."""
+    first = spark.read.text(path).select(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("h")).first()
+    return first is not None and first.h == "1F8B"
 
 
 def reads_of(frames_: DataFrame) -> DataFrame:
-    """Readable frames in the shape of JSON reads, numbered in file and frame order."""
+    """Readable frames in the shape of JSON reads, numbered in the order of file names and frames."""
     good = frames_.where(F.col("error").isNull())
-    return good.select(F.xxhash64("file", "frame").alias("read_id"), "name", "sequence", "mapping_quality", "score", F.base64("quality").alias("quality"), "path")
+    number = F.shiftleft(F.col("file_no").cast("long"), 40) + F.col("frame")
+    return good.select(number.alias("read_id"), "name", "sequence", "mapping_quality", "score", F.base64("quality").alias("quality"), "path")

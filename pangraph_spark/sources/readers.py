@@ -7,7 +7,7 @@ reader that can meet them has a quarantine of what it could not use.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import node_id, strip, tabs, tag_value, walk_nodes, walk_strands, with_chr
@@ -101,6 +101,13 @@ def gam_json(spark: SparkSession, path: str) -> DataFrame:
     return _gam(lines(spark, path)).where("ok").drop("ok", "line")
 
 
+def gam(spark: SparkSession, path: str) -> DataFrame:
+    """Graph reads of a ``.gam``: binary groups, or JSON lines under that name; told apart by the first bytes."""
+    from . import frames
+
+    return frames.reads_of(frames.gam_groups(spark, path)) if frames.is_compressed(spark, path) else gam_json(spark, path)
+
+
 def gam_quarantine(spark: SparkSession, path: str) -> DataFrame:
     """The lines that :func:`gam_json` leaves out."""
     return _gam(lines(spark, path)).where(~F.col("ok")).select("read_id", "line")
@@ -189,13 +196,19 @@ def node_map_json(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(node_id(F.col("id")).alias("node_id"), "n.*")
 
 
+def file_numbers(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the place of each row's ``file`` in the order of names, from 0; only names are ranked, one row a file."""
+    from ..operators.visits import small
+
+    order = Window.orderBy("file")
+    files = rows.select("file").distinct().withColumn(name, F.row_number().over(order) - 1)
+    return rows.join(small(files), "file")
+
+
 def batch_files(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
     """JSON lines of all files of a pattern with ``batch``, the place of a file in the order of names."""
     rows = spark.read.schema(schema).json(pattern).withColumn("file", F.col("_metadata.file_path"))
-    files = [r.file for r in rows.select("file").distinct().collect()]  # one row a file
-    place = {f: k for k, f in enumerate(sorted(files))}
-    order = F.create_map(*[F.lit(x) for pair in place.items() for x in pair]) if place else F.create_map().cast("map<string,int>")
-    return rows.withColumn("batch", F.element_at(order, F.col("file"))).drop("file")
+    return file_numbers(rows, "batch").drop("file")
 
 
 def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -227,6 +240,8 @@ def alignments(spark: SparkSession, path: str) -> DataFrame:
     name = path.lower()
     if name.endswith(".gaf"):
         return gaf(spark, path)
-    if name.endswith((".gam", ".json", ".jsonl")):
+    if name.endswith(".gam"):
+        return gam(spark, path)
+    if name.endswith((".json", ".jsonl")):
         return gam_json(spark, path)
     raise InputError(f"{path} is neither .gam nor .gaf")

@@ -14,9 +14,14 @@ from ..sources import schemas
 
 
 def read_stream(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
-    """JSON reads of a folder; ``read_id`` is a hash of the line, and malformed lines have no ``name``."""
+    """JSON reads of a folder; malformed lines, which have no ``name``, are left out."""
     lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(folder)
-    return lines.select(F.xxhash64("value").alias("read_id"), F.from_json("value", schemas.READ_JSON).alias("r")).where(F.col("r.name").isNotNull()).select("read_id", "r.*")
+    return lines.select(F.from_json("value", schemas.READ_JSON).alias("r")).where(F.col("r.name").isNotNull()).select("r.*")
+
+
+def numbered(batch: DataFrame) -> DataFrame:
+    """A micro-batch with ``read_id``, so that equal lines are reads of their own."""
+    return batch.withColumn("read_id", F.monotonically_increasing_id())
 
 
 def assign(reads: DataFrame, regions: DataFrame) -> DataFrame:
@@ -24,15 +29,16 @@ def assign(reads: DataFrame, regions: DataFrame) -> DataFrame:
 
     The lookup is a map of nodes to regions joined to exploded visits; the earliest hit is taken by batch.
     """
-    hits = visits.first_hits(visits.visits_of(reads), regions)
-    return hits.join(reads.select("read_id", "name", "sequence"), "read_id").select("region", F.col("name").alias("read_name"), F.length("sequence").alias("sequence_length"), F.col("offset").alias("mapping_position"))
+    reads = reads.withColumn("sequence_length", F.length("sequence"))
+    hits = visits.first_hits(visits.visits_of(reads, ["name", "sequence_length"]), regions, ["name", "sequence_length"])
+    return hits.select("region", F.col("name").alias("read_name"), "sequence_length", F.col("offset").alias("mapping_position"))
 
 
 def start(spark: SparkSession, folder: str, regions: DataFrame, target: str, checkpoint: str, available_now: bool = True):
     """Starts the stream; each micro-batch writes its own partition ``batch=<id>`` of ``target``."""
 
     def write(batch: DataFrame, number: int) -> None:
-        assign(batch, regions).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        assign(numbered(batch), regions).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     writer = read_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")).start()
