@@ -1,17 +1,18 @@
-"""What the operators share: reading tables, scratch tables in shared storage, Arrow mapping."""
+"""What the operators share: reading tables, joins with lookup tables, steps over Arrow tables."""
 
 from __future__ import annotations
 
-import atexit
 import ctypes
-import tempfile
-import uuid
+import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..package import ship
+from ..scratch import cut, dropped
+
+__all__ = ["FEW", "KEPT", "SALTS", "TOKENIZER", "among", "arrow", "attach", "begin", "cut", "dropped", "give_back", "grouped", "map_arrow", "pa", "rows_of", "ship", "table", "texts", "tokenizer_path"]
 
 #: The tokenizer file that the queries use.
 TOKENIZER = "word_bpe_49k.json"
@@ -32,54 +33,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Where that setting is absent (tests, one machine) a temporary folder takes its place.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="scratch-"))
-        base = _OWN[0]
-    return f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}"
-
-
-_OWN: list[str] = []
-_LEFT: list[tuple[SparkSession, str]] = []
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes a table to shared storage and reads it back: lineage ends there, and lost executors lose nothing."""
-    spark = df.sparkSession
-    path = scratch_dir(spark)
-    df.write.option("compression", "zstd").parquet(path)
-    if not _LEFT:
-        atexit.register(_clean)
-    _LEFT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_scratch(df: DataFrame) -> None:
-    """Removes the files behind ``cut`` once nothing reads them any more."""
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        _delete(df.sparkSession, f)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _clean() -> None:
-    for spark, path in _LEFT:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before
-            return
-
-
 def give_back() -> None:
     """Returns freed memory to the system, as worker processes live on from task to task."""
     pa.default_memory_pool().release_unused()
@@ -126,6 +79,42 @@ def map_arrow(df: DataFrame, step, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a lookup table that are broadcast; more are repeated for each of SALTS parts of the other side.
+FEW, SALTS = 200_000, 32
+
+
+def attach(left: DataFrame, right: DataFrame, keys: list[str], by: str = "doc_id") -> DataFrame:
+    """``left`` with the columns of ``right``, which has at most one row a key, or nulls.
+
+    A key that many rows of ``left`` hold is dealt over tasks by ``by``: either side's size decides nothing
+    but how rows travel.
+    """
+    if right.limit(FEW + 1).count() <= FEW:
+        return left.join(F.broadcast(right), keys, "left")
+    part = F.pmod(F.xxhash64(by), F.lit(SALTS))
+    salted = right.withColumn("salt_no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return left.withColumn("salt_no", part).join(salted, [*keys, "salt_no"], "left").drop("salt_no")
+
+
+BITS = 1 << 23
+
+
+def among(ids: DataFrame, name: str):
+    """A condition on ``name`` that holds for all of ``ids(name)`` and for few others.
+
+    One bit for each hash of an id, 1 MB whatever the table's size, tested where the rows are; so a join
+    with few ids moves few rows.
+    """
+    place = F.pmod(F.xxhash64(F.col(name).cast("long")), F.lit(BITS))
+    bit = F.expr(f"shiftleft(1L, cast(pmod(xxhash64(cast(`{name}` as bigint)), 64) as int))")
+    word = F.shiftright(place, 6).cast("int")
+    found = ids.select(word.alias("w"), bit.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    bits = [0] * (BITS >> 6)
+    for r in found:
+        bits[r.w] = r.b
+    return F.element_at(F.from_json(F.lit(json.dumps(bits)), "array<bigint>"), word + 1).bitwiseAND(bit) != 0
+
+
 def arrow(**columns) -> pa.RecordBatch:
     """A record batch of numpy or Arrow columns."""
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], names=list(columns))
