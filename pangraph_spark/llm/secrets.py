@@ -1,14 +1,20 @@
 """Secret scan: candidates by pattern, judged by a character convolutional network.
 
-Base findings are three kinds of pattern match and always stay.  Every further token of 20 or more
-characters that mixes letters and digits is a candidate, and so is every value of 6 or more characters
-behind a credential name; the network adds it if its calibrated probability reaches the threshold of
-``token`` or of ``assign``, unless it overlaps a base finding.  Both are reported as ``token``.  A
-candidate's probability is the largest over windows that cover all of it.  The network scores base findings
-too; ``min_score`` and ``max_score`` report its range over a document's spans.
-
-Spans are counted in code points, the end exclusive.  Null and empty texts have none.  Rows are scanned
-one by one, whole, however long; a repeated row gives the same result again.
+Base findings are three kinds of pattern match and always stay.  Candidates beside them, which the network
+adds if their calibrated probability reaches the threshold of their kind and they overlap no base finding:
+
+* tokens of 20 or more characters that mix letters and digits, or upper and lower case;
+* quoted strings of 12 or more such characters, whatever they mix;
+* values of 6 or more characters behind a credential name, and passwords in addresses.
+
+All of them are reported as ``token``.  A candidate's probability is the largest over windows that cover all
+of it.  The network scores base findings too; ``min_score`` and ``max_score`` report its range over a
+document's spans.
+
+Spans are counted in code points, the end exclusive.  Null and empty texts have none, and null texts stay
+null when they are redacted.  Rows are scanned one by one, whole, however long; a repeated row gives the same
+result again, and an empty table an empty table.  Other columns, whatever their names, are kept by
+:func:`redact` and ignored by :func:`scan`.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 TOKEN = re.compile(r"[A-Za-z0-9+/_=.-]{20,}")
 VALUE = re.compile(r"""(?ai:password|passwd|secret|token|api_?key|auth|private_key|bearer|access_key|credential)["']?\x20*(?:=>|[:=])\x20*["']?([A-Za-z0-9+/_.=-]{6,})""")
+QUOTED = re.compile(r"""["']([A-Za-z0-9+/_=.-]{12,})["']""")
+ADDRESS = re.compile(r"://[^\s:/@\"']{1,64}:([^\s:/@\"']{4,})@")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 VALUE_NAMES = (*NAMES, "auth", "private_key", "bearer", "access_key", "credential")
 SHORTEST = 20  # bytes of the shortest finding other than assignments
@@ -50,24 +58,33 @@ def base_spans(text: str, long_tokens: bool = True) -> list[tuple[int, int, str,
     return sorted(found, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
+def _overlaps(span: tuple[int, int], base) -> bool:
+    return any(a < span[1] and span[0] < b for a, b, *_ in base)
+
+
 def extra_candidates(text: str, base) -> list[tuple[int, int]]:
-    """Long mixed tokens that overlap no base finding."""
+    """Long mixed tokens and quoted strings that overlap no base finding."""
     out = []
     for m in TOKEN.finditer(text):
         s = m.group()
-        if any(c.isdigit() for c in s) and any(c.isalpha() for c in s) and not any(a < m.end() and m.start() < b for a, b, *_ in base):
+        mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+        if (mixed or not (s[1:].islower() or s.isupper() or not s[1:].upper().lower().isalpha())) and not _overlaps(m.span(), base):
             out.append(m.span())
+    if '"' in text or "'" in text:
+        held = set(out)
+        out += [m.span(1) for m in QUOTED.finditer(text) if m.span(1) not in held and not _overlaps(m.span(1), base)]
     return out
 
 
 def named_values(text: str, base) -> list[tuple[int, int]]:
-    """Values behind credential names that overlap no base finding."""
+    """Values behind credential names, and passwords in addresses, that overlap no base finding."""
     if ":" not in text and "=" not in text:
         return []
+    found = [m.span(1) for m in ADDRESS.finditer(text)] if "://" in text else []
     low = text.lower()
-    if not any(n in low for n in VALUE_NAMES):
-        return []
-    return [m.span(1) for m in VALUE.finditer(text) if not any(a < m.end(1) and m.start(1) < b for a, b, *_ in base)]
+    if any(n in low for n in VALUE_NAMES):
+        found += [m.span(1) for m in VALUE.finditer(text)]
+    return [x for x in dict.fromkeys(found) if not _overlaps(x, base)]
 
 
 def scan_texts(texts: list[tuple[int, str, bool]], net: Network):
@@ -95,7 +112,11 @@ def _candidates(data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, str, b
     """The rows that can hold findings, with whether they have a long enough token."""
     w = split_words(data, offsets, separators=SPACES)
     long_rows = np.zeros(len(offsets) - 1, bool)
-    long_rows[np.searchsorted(offsets, w.starts[w.ends - w.starts >= SHORTEST], "right") - 1] = True
+    size = w.ends - w.starts
+    quote = (data == 0x22) | (data == 0x27)
+    # a quoted string that stands on its own is a word that begins with the quote, or with a bracket and it
+    quoted = (size >= 14) & (quote[w.starts] | quote[np.minimum(w.starts + 1, max(0, len(data) - 1))]) if len(data) else size >= 14
+    long_rows[np.searchsorted(offsets, w.starts[(size >= SHORTEST) | quoted], "right") - 1] = True
     marks = np.flatnonzero((data == 0x3A) | (data == 0x3D))
     marked = np.zeros(len(offsets) - 1, bool)
     marked[np.searchsorted(offsets, marks, "right") - 1] = True
