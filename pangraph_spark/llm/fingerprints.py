@@ -1,19 +1,21 @@
 """Document fingerprints by a homomorphic multiset hash, in DataFrame functions only.
 
 A text is cut into paragraphs: its lines, and these at sentence ends.  Each paragraph has a wide vector of
-48 numbers of 10 bits, taken from two SHA-256 digests, and the fingerprint is the vectors' sum.  Sums do
+48 numbers of 6 bits, taken from two SHA-256 digests, and the fingerprint is the vectors' sum.  Sums do
 not depend on order, so equal multisets of paragraphs have equal fingerprints, and adding or taking away
 a paragraph's vector inserts or deletes it (:func:`combine`).  The number of paragraphs is one more lane.
 
-Two lanes share a long, 30 bits each, so a vector is 24 longs that are summed modulo 2**60.  Lanes stay
-apart up to 2**20 paragraphs a text; beyond that sums still agree for equal texts.
+Two lanes share a long, 30 bits each and a spare bit above, so a vector is 24 longs whose lanes are summed
+modulo 2**30 without reaching into each other, whatever the number of paragraphs.
 
 Likeness is the cosine between two fingerprints' lanes after the mean of a random lane is taken away: it
-estimates how much of the two multisets is shared.  Equal fingerprints give 1, negative estimates 0.
+estimates how much of the two multisets is shared.  What is left is small and so known in spite of the
+modulus, unless one paragraph comes more than 2**24 times.  Equal fingerprints give 1, negative estimates 0.
 
 Null is the empty text: no paragraph, all lanes 0.  Two empty texts are alike (1), an empty and another
 text are not (0).  Of rows with one ``doc_id``, the smaller text comes first; null ids come last in
-descending order.  Other columns are not read.
+descending order.  Texts of any length are read whole; an empty table gives an empty table.  Other columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,17 +23,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.visits import small
 from . import common
+from .ranges import Ranges
 
 DIGESTS = 2  # SHA-256 digests of a paragraph
 WORDS = 4  # 60-bit words taken from a digest
 SHIFTS = (0, 10, 20)  # each leaves two lanes of a word, at bits 0 and 30
-LANE, HALF = 10, 30
-PAIR = (1 << LANE) - 1 | ((1 << LANE) - 1) << HALF
-MODULUS = 1 << 60
-CENTRE = ((1 << LANE) - 1) / 2
-#: Texts in one ordered group of the search for next documents.
-GROUP = 20_000
+LANE, HALF = 6, 31
+TOP = (1 << LANE) - 1  # twice the mean of a lane
+PAIR = TOP | TOP << HALF
+LOW = (1 << (HALF - 1)) - 1
+BOTH = LOW | LOW << HALF
+SPARE = (LOW + 1) | (LOW + 1) << HALF
+#: Bytes of text in one ordered group of the search for next documents.
+GROUP = 16 << 20
 
 
 def _digest(k: int):
@@ -43,7 +49,7 @@ def _word(k: int):
 
 
 def _add(shift: int):
-    return lambda a, x: (a + F.shiftright(x, shift).bitwiseAND(F.lit(PAIR))).bitwiseAND(F.lit(MODULUS - 1))
+    return lambda a, x: (a + F.shiftright(x, shift).bitwiseAND(F.lit(PAIR))).bitwiseAND(F.lit(BOTH))
 
 
 def with_lanes(df: DataFrame, text: str, to: str) -> DataFrame:
@@ -60,20 +66,22 @@ def with_lanes(df: DataFrame, text: str, to: str) -> DataFrame:
 
 def render(vector):
     """Fixed-width hexadecimal text of a fingerprint."""
-    return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
+    return F.array_join(F.transform(vector, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
 def combine(a, b, sign: int = 1):
     """Fingerprint lanes of two multisets put together (``sign`` 1) or of ``a`` without ``b`` (-1)."""
-    return F.zip_with(a, b, lambda x, y: (x + F.lit(sign) * y).bitwiseAND(F.lit(MODULUS - 1)))
+    # spare bits lend to the lanes below them
+    return F.zip_with(a, b, lambda x, y: (x + F.lit(SPARE if sign < 0 else 0) + F.lit(sign) * y).bitwiseAND(F.lit(BOTH)))
 
 
 def _centred(a):
-    """All lanes as doubles, less what random lanes would have on average."""
-    mean = F.element_at(a, 1) * F.lit(CENTRE)
+    """Twice all lanes, less what random lanes would have on average, as the nearest to 0 modulo 2**31."""
+    mean = F.element_at(a, 1) * F.lit(TOP)
+    near = lambda x: (F.pmod(2 * x - mean + (LOW + 1), F.lit(2 * (LOW + 1))) - (LOW + 1)).cast("double")
     longs = F.slice(a, 2, DIGESTS * WORDS * len(SHIFTS))
-    low = F.transform(longs, lambda x: x.bitwiseAND(F.lit((1 << HALF) - 1)) - mean)
-    return F.concat(low, F.transform(longs, lambda x: F.shiftright(x, HALF) - mean))
+    low = F.transform(longs, lambda x: near(x.bitwiseAND(F.lit(LOW))))
+    return F.concat(low, F.transform(longs, lambda x: near(F.shiftright(x, HALF))))
 
 
 def _dot(a, b):
@@ -91,28 +99,20 @@ def likeness(a, b, ca, cb):
 def with_next(docs: DataFrame) -> DataFrame:
     """Each row of ``docs(doc_id, text)`` with ``next_text``: descending ``doc_id``, after the last the first.
 
-    Rows are grouped by ranges of ``doc_id`` of like size.  The text after a range's last row is the first
-    of the next lower range; those first texts, one a range, are read apart and joined by range.
+    Rows are grouped by ranges of ``doc_id`` that hold about ``GROUP`` bytes of text.  The text after a
+    range's last row is the first of the next lower range: range numbers are matched alone, then one text a
+    range is sent to its neighbour.
     """
-    spark = docs.sparkSession
-    ids = docs.select("doc_id")
-    n = ids.count()
-    if not n:
-        return docs.withColumn("next_text", F.lit(None).cast("string"))
-    groups = max(1, -(-n // GROUP), min(n // 50, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    share = [k / groups for k in range(1, groups)]
-    found = ids.agg(F.percentile_approx("doc_id", share, 10_000).alias("b")).first().b if share else []
-    bounds = sorted({b for b in found or [] if b is not None})
-    # range k holds bounds[k - 1] < doc_id <= bounds[k]; null ids are in the lowest
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds])
-    place = F.size(F.filter(edges, lambda b: b < F.coalesce(F.col("doc_id"), F.lit(-(2**63))))) if bounds else F.lit(0)
-    rows = docs.withColumn("place", place)
+    ranges = Ranges(docs, GROUP)
+    rows = docs.withColumn("place", ranges.column())
     tops = rows.groupBy("place").agg(F.max("doc_id").alias("top"))
-    first = rows.join(F.broadcast(tops.withColumnRenamed("place", "top_place")), (F.col("place") == F.col("top_place")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = first.groupBy("place").agg(F.min(F.coalesce("text", F.lit(""))).alias("head"))
+    first = rows.join(small(tops.withColumnRenamed("place", "top_place")), (F.col("place") == F.col("top_place")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    heads = first.groupBy("place").agg(F.min(F.coalesce("text", F.lit(""))).alias("tail"))
+    # numbers only, one a range
     down = Window.orderBy(F.desc("place"))
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    tails = heads.select(F.col("place").alias("tail_place"), F.coalesce(F.lead("head").over(down), F.first("head").over(whole)).alias("tail"))
+    follows = tops.select(F.col("place").alias("tail_place"), F.coalesce(F.lead("place").over(down), F.first("place").over(whole)).alias("place"))
+    tails = heads.join(follows, "place").select("tail_place", "tail")
     inside = Window.partitionBy("place").orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
     led = rows.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(inside))
     joined = led.join(tails, F.col("place") == F.col("tail_place"))
@@ -152,15 +152,17 @@ def _sql_lanes(parts: str) -> str:
     sums = []
     for k in range(DIGESTS * WORDS):
         word = f"CAST('0x' || substr(sha256('{k // WORDS}:' || x), {1 + 15 * (k % WORDS)}, 15) AS BIGINT)"
-        sums += [f"CAST(coalesce(list_sum(list_transform({parts}, lambda x: (({word}) >> {s}) & {PAIR})), 0) % {MODULUS} AS BIGINT)" for s in SHIFTS]
+        lane = lambda s, word=word: f"coalesce(list_sum(list_transform({parts}, lambda x: (({word}) >> {s}) & {TOP})), 0) % {LOW + 1}"
+        sums += [f"CAST({lane(s)} + ({lane(s + HALF)}) * {1 << HALF} AS BIGINT)" for s in SHIFTS]
     return f"[CAST(len({parts}) AS BIGINT), {', '.join(sums)}]"
 
 
 def sql() -> str:
     n = DIGESTS * WORDS * len(SHIFTS)
-    low = (1 << HALF) - 1
-    centred = lambda a: f"list_concat(list_transform({a}[2:{n + 1}], lambda x: (x & {low}) - {a}[1] * {CENTRE}), list_transform({a}[2:{n + 1}], lambda x: (x >> {HALF}) - {a}[1] * {CENTRE}))"
-    text = lambda a: f"array_to_string(list_transform({a}, lambda x: printf('%015x', x)), '')"
+    wide = 2 * (LOW + 1)
+    near = lambda a, x: f"CAST(((2 * ({x}) - {a}[1] * {TOP} + {LOW + 1}) % {wide} + {wide}) % {wide} - {LOW + 1} AS DOUBLE)"
+    centred = lambda a: f"list_concat(list_transform({a}[2:{n + 1}], lambda x: {near(a, f'x & {LOW}')}), list_transform({a}[2:{n + 1}], lambda x: {near(a, f'x >> {HALF}')}))"
+    text = lambda a: f"array_to_string(list_transform({a}, lambda x: printf('%016x', x)), '')"
     like = lambda a, b, ca, cb: (
         f"CASE WHEN {a} = {b} THEN 1.0 WHEN {a}[1] = 0 OR {b}[1] = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, round("
         f"list_inner_product({ca}, {cb}) / sqrt(list_inner_product({ca}, {ca}) * list_inner_product({cb}, {cb})), 6))) END"
