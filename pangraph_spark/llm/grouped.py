@@ -1,4 +1,4 @@
-"""Ranges of documents, and packed arrays that travel between them.
+"""Packed arrays that travel between ranges of documents.
 
 Operators over words or shingles would shuffle billions of small rows.  Here a task packs what it sends to
 one receiver into a single binary value, sorted by place so that places compress to almost nothing.
@@ -8,45 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 _CODEC = "zstd"
-_EDGES_IN_PLAN = 4096
-
-
-class Ranges:
-    """Consecutive ranges of ``doc_id`` with about ``group_bytes`` of text each.
-
-    A document's range is a function of its id alone.  ``column()`` computes it; ranges and the places of
-    words inside them are ordered as ids are.  Null ids come before all others.
-    """
-
-    def __init__(self, docs: DataFrame, group_bytes: int = 8 << 20):
-        spark = docs.sparkSession
-        row = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long")).alias("b")).first()
-        self.rows, self.bytes = row.n, row.b or 0
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        want = max(1, -(-self.bytes // group_bytes), min(self.rows // 50, parts))
-        share = [k / want for k in range(1, want)]
-        found = docs.agg(F.percentile_approx("doc_id", share, 20_000).alias("b")).first().b if share else []
-        self.bounds = sorted({b for b in found or [] if b is not None})
-        self.count = len(self.bounds) + 1
-        # receivers of packed arrays: a power of two, at most half as many as ranges, since the number of
-        # packed values is the product of both
-        self.buckets = 1 << max(0, (self.count // 2).bit_length() - 1)
-
-    def of(self, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(np.array(self.bounds, np.int64), ids, "left").astype(np.int32)
-
-    def column(self):
-        """Range number of ``doc_id``: how many bounds lie below it."""
-        low = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-        out = F.lit(0)
-        for at in range(0, len(self.bounds), _EDGES_IN_PLAN):
-            edges = F.array(*[F.lit(b).cast("long") for b in self.bounds[at : at + _EDGES_IN_PLAN]])
-            out = out + F.size(F.filter(edges, lambda b: b < low))
-        return out.cast("int")
 
 
 def pack(*arrays: np.ndarray) -> bytes:

@@ -7,7 +7,8 @@ repeated window covers goes.
 1. Anchors.  D is a difference cover modulo v: for any two positions some shift below v brings both to
    positions that D holds.  Windows of n - v + 1 words are hashed only at such positions, so two equal
    windows of n words share an aligned anchor.  Anchors that occur once in all of the corpus go.
-2. Extension.  Windows of n words that hold a shared anchor are hashed whole.  Each range of documents
+2. Extension.  Windows of n words that hold a shared anchor are hashed whole, to 128 bits, so that at no
+   size of corpus unequal windows are likely to be taken for equal.  Each range of documents
    sends the first place of every such hash; the least place over all ranges is where it starts earliest.
 3. Removal.  Places that are not the earliest go back to their range, and covered words are dropped.
 
@@ -15,8 +16,9 @@ What travels are packed arrays with one entry for each hash and range, so a pass
 hold is sent once a range, and no receiver gets more entries of one hash than there are ranges.
 
 Null and empty texts have no words.  Rows that share a ``doc_id`` count as documents one after another,
-ordered by text; rows without id come before all others.  A document shorter than a window loses nothing.
-Other columns are kept by :func:`dedup` and ignored by :func:`digest`.
+ordered by text; rows without id come before all others.  A document shorter than a window loses nothing,
+an empty table gives an empty table.  A text is read whole however long it is, by one task.  Other columns,
+whatever their names, are kept by :func:`dedup` and ignored by :func:`digest`; ``doc_id`` may be any integer.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .grouped import Ranges, by_bucket, pack, unpack
-from .words import Words, split_words, text_bytes, text_slices, windows
+from .grouped import by_bucket, pack, unpack
+from .ranges import Ranges
+from .words import Words, U, mix, split_words, text_bytes, text_slices, windows
 
 # Perfect difference covers, by modulus.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -56,6 +59,17 @@ def anchor_places(words: Words, window: int, v: int) -> tuple[np.ndarray, np.nda
     return at, h[at]
 
 
+def window_hashes(words: Words, places: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, in two arrays, of the n-word windows that start at some places."""
+    out = []
+    for odd in (0x9E3779B97F4A7C15, 0xD1342543DE82EF95):
+        h = np.zeros(len(places), np.uint64)
+        for k in range(n):
+            h += words.hashes[places + k] * U(pow(odd, 3 * k + 1, 1 << 64))
+        out.append(mix(h))
+    return out[0], out[1]
+
+
 def _send(hashes: np.ndarray, buckets: int, columns, part: int = 0):
     """One packed row for each receiver; ``columns(rows)`` gives what travels with the hashes."""
     found = [(b, pack(hashes[rows], *columns(rows))) for b, rows in by_bucket(hashes, buckets)]
@@ -67,8 +81,7 @@ def shared_anchors(docs: DataFrame, ranges: Ranges, window: int) -> DataFrame:
     v, buckets = modulus(window), ranges.buckets
 
     def emit(batch):
-        ids = batch.column(0)
-        part_of = ranges.of(ids.fill_null(-(2**63)).to_numpy())
+        part_of = batch.column(0).to_numpy()
         for rows, data, offsets in text_slices(batch):
             w = split_words(data, offsets)
             at, h = anchor_places(w, window, v)
@@ -100,7 +113,7 @@ def shared_anchors(docs: DataFrame, ranges: Ranges, window: int) -> DataFrame:
         new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
         return _by_part(part[new], h[new])
 
-    sent = common.map_arrow(docs.select("doc_id", "text"), emit, ENTRY)
+    sent = common.map_arrow(docs.select(ranges.column().alias("part"), "text"), emit, ENTRY)
     return sent.select("bucket", "data").groupBy("bucket").applyInArrow(meet, "part int, kind int, data binary")
 
 
@@ -151,14 +164,14 @@ def repeated_windows(docs: DataFrame, ranges: Ranges, window: int) -> DataFrame:
         near = np.zeros(len(w) + 1, np.int64)
         np.add.at(near, np.maximum(hit - v + 1, 0), 1)
         np.add.at(near, hit + 1, -1)
-        h, whole = windows(w, window)
+        whole = np.repeat(w.first[1:], np.diff(w.first)) - np.arange(len(w)) >= window
         places = np.flatnonzero((np.cumsum(near[:-1]) > 0) & whole)
-        h = h[places]
-        first, index = np.unique(h, return_index=True)
-        lead = np.sort(index)
-        again = np.ones(len(places), bool)
-        again[lead] = False
-        out = [_send(h[lead], buckets, lambda r: (places[lead][r].astype(np.int64),), part)]
+        h, g = window_hashes(w, places, window)
+        order = np.lexsort((g, h))
+        lead = np.ones(len(places), bool)
+        lead[order[1:]] = (h[order[1:]] != h[order[:-1]]) | (g[order[1:]] != g[order[:-1]])
+        again, lead = ~lead, np.flatnonzero(lead)
+        out = [_send(h[lead], buckets, lambda r: (g[lead][r], places[lead][r].astype(np.int64)), part)]
         if again.any():
             # repeats inside the range are settled; they pass through, spread over the receivers
             out.append(common.arrow(bucket=pa.array([-1 - part % buckets], pa.int32()), part=pa.array([part], pa.int32()), data=pa.array([pack(places[again].astype(np.int64))], pa.binary())))
@@ -169,12 +182,11 @@ def repeated_windows(docs: DataFrame, ranges: Ranges, window: int) -> DataFrame:
         if table["bucket"][0].as_py() < 0:
             return pa.table({"part": table["part"], "kind": pa.array([1] * table.num_rows, pa.int32()), "data": table["data"]})
         found = [(p, *unpack(x)) for p, x in zip(table["part"].to_pylist(), table["data"].to_pylist(), strict=True)]
-        h = np.concatenate([x[1] for x in found])
-        place = np.concatenate([x[2] for x in found])
+        h, g, place = (np.concatenate([x[k] for x in found]) for k in (1, 2, 3))
         part = np.repeat(np.array([x[0] for x in found], np.int64), [len(x[1]) for x in found])
-        order = np.lexsort((place, part, h))
+        order = np.lexsort((place, part, g, h))
         later = np.zeros(len(h), bool)
-        later[order[1:]] = h[order[1:]] == h[order[:-1]]
+        later[order[1:]] = (h[order[1:]] == h[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
         place, part = place[later], part[later]
         order = np.lexsort((place, part))
         return _by_part(part[order], place[order].astype(np.int64), kind=1)
@@ -222,18 +234,21 @@ def _apply(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
     """``finish(table, words, keep)`` over each range with its marks."""
     ranges = Ranges(docs)
     marks = repeated_windows(docs.select("doc_id", "text"), ranges, window)
-    placed = docs.select(ranges.column().alias("range_no"), *[F.col(f"`{c}`") for c in docs.columns])
+    key = "range_no"
+    while key in {c.lower() for c in docs.columns}:
+        key += "_"
+    placed = docs.select(ranges.column().alias(key), *[F.col(f"`{c}`") for c in docs.columns])
 
     @common.grouped
     def run(table: pa.Table, marks: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return finish(table.drop_columns(["range_no"]), None, None)
-        table = _sorted_docs(table.drop_columns(["range_no"]))
+            return finish(table.drop_columns([key]), None, None)
+        table = _sorted_docs(table.drop_columns([key]))
         w = _ordered_words(table)
         starts = [unpack(x)[0] for x in marks["data"].to_pylist()]
         return finish(table, w, _kept(w, np.concatenate(starts) if starts else np.zeros(0, np.int64), window))
 
-    return placed.groupBy("range_no").cogroup(marks.withColumnRenamed("part", "range_no").groupBy("range_no")).applyInArrow(run, schema)
+    return placed.groupBy(key).cogroup(marks.withColumnRenamed("part", key).groupBy(key)).applyInArrow(run, schema)
 
 
 def digest(docs: DataFrame, window: int = 20) -> DataFrame:
@@ -274,5 +289,20 @@ def dedup(docs: DataFrame, window: int = 20) -> DataFrame:
     return _apply(docs, window, finish, docs.schema)
 
 
+SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS FIRST, text NULLS FIRST) AS r, CAST(doc_id AS BIGINT) AS doc_id,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (
+  SELECT r, unnest(range(1, len(w) - 18)) AS p, unnest(list_transform(range(1, len(w) - 18), lambda p: sha256(array_to_string(w[p:p + 19], ' ')))) AS seq FROM docs),
+later AS (SELECT s.r, s.p FROM starts s JOIN (SELECT seq, min((r, p)) AS first FROM starts GROUP BY seq HAVING count(*) > 1) f ON s.seq = f.seq AND (s.r, s.p) <> f.first),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 20)) AS i FROM later),
+words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM docs),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM docs LEFT JOIN kept USING (r)
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return digest(common.table(spark, sf_dir, "documents"))
