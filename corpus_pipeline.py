@@ -1,7 +1,7 @@
 """The corpus pipeline: filter, deduplicate, redact and pack documents.
 
 Each stage reads the Parquet that the one before it wrote, so a stage can be run again on its own and a
-lost executor costs no more than the stage at work.
+lost executor costs no more than the stage at work.  What a stage wrote for itself goes when it is done.
 """
 
 from __future__ import annotations
@@ -26,5 +26,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; one row per packed piece."""
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir))
+        with common.dropped() as keep:
+            docs = keep(common.cut(stage(spark, docs, sf_dir)))
     return STAGES[-1][1](spark, docs, sf_dir)
