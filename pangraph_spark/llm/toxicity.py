@@ -8,18 +8,22 @@ is expected K * n * exp(-lambda * S) times in ordinary text, lambda being the ro
 E[exp(lambda * score)] = 1 over ordinary words.  A document's evidence is the sum over its segments of how
 far that expectation falls below one; a monotone fit turns evidence into a probability.
 
-Word counts and the calibration use all labelled training rows, and the model keeps every significant word.
-The ``max_words`` commonest are broadcast; if there are more, the rest stays a table, and texts get the
-scores of their rarer words by a join.
+Word counts and the calibration use all labelled training rows; the curve is fitted on evidence that each
+row gets of a model made without it.  The model keeps every significant word.  The ``max_words`` commonest
+are broadcast; if there are more, the rest stays a table, and texts get the scores of their rarer words by
+a join.
 
 Null and empty texts have no words and no evidence; they get the score of texts without evidence.  Rows
-are scored one by one, so repeats and ties need no rule.  Without labelled rows of both kinds every
-score is the share of toxic rows among the labelled, or 0.
+are scored one by one, whole, however long, so repeats and ties need no rule.  Of contradictory labels of
+one id the larger counts; labels without id or value are left out.  Without labelled rows of both kinds every
+score is the share of toxic rows among the labelled, or 0.  An empty table gives an empty table; other
+columns, whatever their names, are kept by :func:`reject` and ignored by :func:`score`.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,7 @@ from .words import SYMBOLS, split_words, text_slices, windows
 LEVELS = 64  # evidence is counted on a logarithmic scale, STEPS levels for each doubling of 1 + evidence
 STEPS = 6
 NO_SIGNIFICANCE = 0.2
+FOLDS = 3
 
 
 @dataclass
@@ -72,11 +77,11 @@ def _words(data, offsets):
 
 
 def copy_weights(docs: DataFrame, use: DataFrame) -> DataFrame:
-    """``use`` with ``weight``: copies weigh one text together, every other text weighs 1.
+    """``use`` with ``weight`` and ``key``: copies weigh one text together, every other text weighs 1.
 
     Copies have the same windows of 5 words, each as often (texts of fewer words: the same words), told by
-    the sum of all window hashes.  Keys are made for all documents, as that needs no text to move; the joins
-    are of small rows.
+    the sum of all window hashes.  Keys are made where the texts are; what travels are small rows, and a key
+    that many texts share stays dealt over tasks.
     """
 
     def step(batch):
@@ -91,9 +96,10 @@ def copy_weights(docs: DataFrame, use: DataFrame) -> DataFrame:
                 key[some] = np.add.reduceat(h, w.first[:-1][some])
             yield common.arrow(doc_id=common.rows_of(batch, "doc_id", rows), key=key.view(np.int64))
 
-    keys = common.map_arrow(docs, step, "doc_id long, key long").groupBy("doc_id").agg(F.min("key").alias("key"))
+    keys = common.map_arrow(docs.where(common.among(use, "doc_id")), step, "doc_id long, key long").groupBy("doc_id").agg(F.min("key").alias("key"))
     keyed = common.cut(keys.join(use.hint("merge"), "doc_id"))
-    return keyed.join(keyed.groupBy("key").agg((1.0 / F.count("*")).alias("weight")).hint("merge"), "key").select("doc_id", "toxic", "weight")
+    shared = common.cut(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    return common.attach(keyed, shared, ["key"]).select("doc_id", "toxic", (1.0 / F.coalesce("n", F.lit(1))).alias("weight"), "key")
 
 
 def count_words(labelled: DataFrame) -> DataFrame:
@@ -303,18 +309,29 @@ def calibrate(scored: DataFrame, labels: DataFrame) -> np.ndarray:
     return monotone(n, p)
 
 
+def cross_fitted(labelled: DataFrame, use: DataFrame, folds: int = FOLDS) -> np.ndarray:
+    """The calibration curve from evidence that each labelled row gets of a model fitted without it.
+
+    Rows are dealt to folds by their copies' key, so no copy of a row helps to judge it.
+    """
+    fold = F.pmod(F.col("key"), F.lit(folds))
+    parts = [evidence(labelled.where(fold == k), fit(labelled.where(fold != k))) for k in range(folds)]
+    return calibrate(reduce(DataFrame.unionByName, parts), use)
+
+
 def _usable(labels: DataFrame) -> DataFrame:
     """Labels that may be learnt from, one a document."""
-    use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
+    use = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
     return use.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
 
 
 def _labelled(docs: DataFrame, use: DataFrame) -> DataFrame:
-    """``doc_id, text, toxic, weight`` of the labelled rows: the only step that moves texts.
+    """``doc_id, text, toxic, weight, key`` of the labelled rows: the only step that moves texts.
 
-    Always a merge join: it suits any size, and what it moves grows in step with the input.
+    Always a merge join, which suits any size; rows without a label mostly stay where they are.
     """
-    return common.cut(docs.join(copy_weights(docs, use).hint("merge"), "doc_id").select("doc_id", "text", "toxic", "weight"))
+    some = docs.where(common.among(use, "doc_id"))
+    return common.cut(some.join(copy_weights(docs, use).hint("merge"), "doc_id").select("doc_id", "text", "toxic", "weight", "key"))
 
 
 def _probability(curve: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -329,8 +346,9 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFra
     ``labels(doc_id, toxic)`` may cover some of them; held-out rows' labels are not read.
     """
     docs, use = common.texts(docs), _usable(labels)
-    scored = common.cut(evidence(docs, fit(_labelled(docs, use))))
-    shared = docs.sparkSession.sparkContext.broadcast(calibrate(scored, use))
+    labelled = _labelled(docs, use)
+    scored = common.cut(evidence(docs, fit(labelled)))
+    shared = docs.sparkSession.sparkContext.broadcast(cross_fitted(labelled, use))
 
     def step(batch):
         p = _probability(shared.value, batch.column(1).to_numpy())
@@ -345,7 +363,7 @@ def reject(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFr
     plain, use = common.texts(docs), _usable(labels)
     labelled = _labelled(plain, use)
     model = fit(labelled)
-    curve = calibrate(evidence(labelled.select("doc_id", "text"), model), use)
+    curve = cross_fitted(labelled, use)
     shared = docs.sparkSession.sparkContext.broadcast((replace(model, rest=None), curve))
     width = len(docs.columns)
 
