@@ -44,9 +44,10 @@ def unpack(data: bytes) -> list[np.ndarray]:
 
 def by_bucket(hashes: np.ndarray, buckets: int):
     """``(bucket, rows)`` for each receiver that some hash falls to; rows keep their order."""
+    if not len(hashes):
+        return
     if buckets == 1:
-        if len(hashes):
-            yield 0, np.arange(len(hashes))
+        yield 0, np.arange(len(hashes))
         return
     bucket = (hashes >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
