@@ -51,6 +51,11 @@ class Graph:
         """Visits with their line number, where ranks without gaps are not needed: no window, no shuffle."""
         return self.table("lineitem").select(F.col("l_orderkey").cast("long").alias("read_id"), F.col("l_linenumber").cast("long").alias("rank"), F.col("l_partkey").cast("long").alias("node_id"), F.col("l_quantity").cast("long").alias("offset"))
 
+    def ordered_visits(self) -> DataFrame:
+        """Visits whose rank is what orders them, for operators that only compare ranks: no window, no shuffle."""
+        rows = self.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("rank"))
+        return rows.select(F.col("l_orderkey").cast("long").alias("read_id"), "rank", F.col("l_partkey").cast("long").alias("node_id"), F.col("l_quantity").cast("long").alias("offset"))
+
     def reads(self) -> DataFrame:
         """Reads with their visits as a nested path; a read has few."""
         rows = self.plain_visits()

@@ -44,7 +44,7 @@ def segment_region_last_wins(g: Graph) -> DataFrame:
 )
 def first_hit_region(g: Graph) -> DataFrame:
     """Each read's region by its first visit to a known segment."""
-    hits = visits.first_hits(g.visits(), visits.last_region(g.region_segments()))
+    hits = visits.first_hits(g.ordered_visits(), visits.last_region(g.region_segments()))
     return hits.withColumnRenamed("offset", "mapping_position")
 
 

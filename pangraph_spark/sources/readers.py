@@ -37,8 +37,11 @@ def _column(k: int):
 
 
 def sample_names(spark: SparkSession, path: str) -> list[str]:
-    """Sample columns of a VCF header; none if it has no header line."""
-    head = lines(spark, path).where(F.col("line").startswith("#CHROM")).orderBy("ordinal").limit(1).collect()
+    """Sample columns of a VCF header; none if it has no header line.
+
+    Splits are looked at from the first on until a header is found.  Files of one pattern must share it.
+    """
+    head = lines(spark, path).where(F.col("line").startswith("#CHROM")).take(1)
     return head[0].line.rstrip("\r\n").split("\t")[9:] if head else []
 
 
