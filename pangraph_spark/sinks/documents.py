@@ -9,13 +9,20 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def _atomic(path: str, write) -> None:
-    """Writes beside the target and renames, so readers never see half a document."""
+    """Writes beside the target and renames, so readers never see half a document.
+
+    The path may name any file system that Spark reads; one without a scheme is local.
+    """
+    if "://" in path:
+        _atomic_shared(path, write)
+        return
     folder = os.path.dirname(os.path.abspath(path))
     os.makedirs(folder, exist_ok=True)
     handle, temp = tempfile.mkstemp(dir=folder, suffix=".tmp")
@@ -29,6 +36,27 @@ def _atomic(path: str, write) -> None:
         raise
 
 
+def _atomic_shared(path: str, write) -> None:
+    sc = SparkSession.getActiveSession().sparkContext
+    jvm, conf = sc._jvm, sc._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs
+    handle, temp = tempfile.mkstemp(suffix=".json")
+    beside = fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
+    try:
+        with os.fdopen(handle, "w", encoding="utf-8") as f:
+            write(f)
+        beside.getFileSystem(conf).copyFromLocalFile(False, True, fs.Path(f"file://{temp}"), beside)
+        kinds = getattr(fs, "Options$Rename")
+        how = sc._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        fs.FileContext.getFileContext(beside.toUri(), conf).rename(beside, fs.Path(path), how)
+    except BaseException:
+        beside.getFileSystem(conf).delete(beside, False)
+        raise
+    finally:
+        os.unlink(temp)
+
+
 def _pretty(text: str, indent: int) -> str:
     return ("\n" + " " * indent).join(json.dumps(json.loads(text), indent=indent, ensure_ascii=False).split("\n"))
 

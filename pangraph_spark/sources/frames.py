@@ -3,8 +3,9 @@
 Two containers hold alignment messages.  A frame file is a sequence of unsigned 32-bit little-endian lengths,
 each with a message of that many bytes.  A ``.gam`` is gzip members one after another; inflated it is groups,
 each a count of items and, for every item, a length and its bytes; the first item may be a tag that names the
-kind of messages.  Neither can be split, as lengths are only known in sequence: framing is by file, while the
-messages are dealt over all tasks before they are decoded.
+kind of messages.  Lengths are only known in sequence, so framing is by file; a ``.gam`` of blocks is read and
+inflated in splits before that (see :mod:`.blocks`), and messages are dealt over all tasks before they are
+decoded.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..package import ship
-from . import schemas
+from . import blocks, schemas
 
 PATH = schemas.READ_JSON.split("path ", 1)[1]
 SCHEMA = f"file string, file_no int, frame long, error string, name string, sequence string, mapping_quality int, score int, quality binary, path {PATH}"
@@ -260,13 +261,25 @@ def gam_frames(spark: SparkSession, path: str) -> DataFrame:
 
 def gam_groups(spark: SparkSession, path: str) -> DataFrame:
     """All messages of ``.gam`` files with ``error`` set where one could not be read."""
-    return _reads(spark, _messages(spark, path, lambda content: groups(inflate(content))))
+    if not blocks.is_blocked(spark, path):
+        return _reads(spark, _messages(spark, path, lambda content: groups(inflate(content))))
+    from ..operators.visits import small
+    from .readers import file_numbers
+
+    found = blocks.framed(spark, path, lambda pieces: ((k, error, message) for k, (message, error) in enumerate(groups(pieces))), ["frame", "error", "message"], "file string, frame long, error string, message binary")
+    names = file_numbers(spark.read.format("binaryFile").load(path).select(_plain(F.col("path")).alias("file")), "file_no")
+    placed = found.withColumn("file", _plain(F.col("file"))).join(small(names), "file", "left")
+    return _reads(spark, placed.select("file", "file_no", "frame", "error", "message"))
+
+
+def _plain(path):
+    """A path as both scans name it."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), "^file:/+", "file:/")
 
 
 def is_compressed(spark: SparkSession, path: str) -> bool:
     """Whether a file begins as a gzip member does."""
-    first = spark.read.text(path).select(F.hex(F.substring(F.col("value").cast("binary"), 1, 2)).alias("h")).first()
-    return first is not None and first.h == "1F8B"
+    return blocks.begins(spark, path, b"\x1f\x8b")
 
 
 def reads_of(frames_: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import gzip
 import json
 import struct
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from pangraph_spark.functions.progress import Progress, counted
 from pangraph_spark.operators import paths, visits
 from pangraph_spark.plans import pipelines
 from pangraph_spark.sinks import documents
-from pangraph_spark.sources import frames, readers
+from pangraph_spark.sources import bam, blocks, frames, readers
 from pangraph_spark.streaming import node_reads
 from test_sources import field, read, varint
 
@@ -166,3 +167,62 @@ def test_scratch_tables_go(spark, monkeypatch):
 
     with pytest.raises(RuntimeError):
         scratch.folder(Far) if not spark.conf.get("spark.checkpoint.dir", None) else scratch.folder(type("S", (), {"conf": {}, "sparkContext": Far.sparkContext}))
+
+
+def test_documents_go_to_any_file_system_at_once(spark, tmp_path):
+    target = f"file://{tmp_path}/deep/a.json"
+    documents.write_array(spark.range(2), target)
+    documents.write_array(spark.range(3), target)
+    assert json.loads((tmp_path / "deep" / "a.json").read_text()) == [{"id": 0}, {"id": 1}, {"id": 2}]
+    with pytest.raises(Exception):
+        documents.write_array(spark.range(2).select(F.raise_error(F.lit("no")).alias("x")), target)
+    assert [p.name for p in (tmp_path / "deep").iterdir() if not p.name.startswith(".")] == ["a.json"]
+    assert len(json.loads((tmp_path / "deep" / "a.json").read_text())) == 3
+
+
+def blocked(data: bytes, size: int = 700) -> bytes:
+    """Blocks as the usual tools write them, with the empty one at the end."""
+    out = b""
+    for part in [*(data[k : k + size] for k in range(0, len(data), size)), b""]:
+        engine = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = engine.compress(part) + engine.flush()
+        out += blocks.MAGIC + struct.pack("<H", len(blocks.MAGIC) + 2 + len(body) + 8 - 1) + body + struct.pack("<II", zlib.crc32(part), len(part))
+    return out
+
+
+def test_blocked_gam_is_read_in_splits(spark, tmp_path):
+    names = [f"r{k}" for k in range(2000)]
+    plain = b"".join(varint(len(items)) + b"".join(varint(len(m)) + m for m in items) for items in ([b"GAM", *(message(n, k) for k, n in enumerate(names[a : a + 37], a))] for a in range(0, 2000, 37)))
+    (tmp_path / "b.gam").write_bytes(blocked(plain))
+    (tmp_path / "a.gam").write_bytes(blocked(gzip.decompress(gam_bytes([message("first", 1)]))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        path = f"{tmp_path}/*.gam"
+        assert blocks.is_blocked(spark, path) and blocks.pieces(spark, path).rdd.getNumPartitions() > 3
+        rows = readers.gam(spark, path).orderBy("read_id").collect()
+        assert [r.name for r in rows] == ["first", *names]
+        assert rows[5].path.mapping[0].position.node_id == "4"
+        damaged = bytearray(blocked(plain))
+        damaged[len(damaged) // 2] ^= 0xFF
+        (tmp_path / "c.bin").write_bytes(bytes(damaged))
+        found = frames.gam_groups(spark, f"{tmp_path}/c.bin").orderBy("frame").collect()
+        assert found[0].name == "r0" and found[-1].error and len(found) < 2000 and all(r.error is None for r in found[:-1])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_blocked_bam_is_read_in_splits(spark, tmp_path):
+    def record(k):
+        name, cigar = f"q{k}".encode() + b"\x00", [(5 << 4) | 0]
+        body = struct.pack("<iiBBHHHiiii", k % 2, k, len(name), 60, 0, len(cigar), 16 * (k % 3 == 0), 5, -1, -1, 0) + name + struct.pack("<I", *cigar) + bytes([0x12, 0x48, 0x10]) + b"\xff" * 5
+        return struct.pack("<i", len(body)) + body
+
+    head = b"BAM\x01" + struct.pack("<i", 0) + struct.pack("<i", 2) + b"".join(struct.pack("<i", 5) + n + struct.pack("<i", 9000) for n in (b"chr1\x00", b"chr2\x00"))
+    (tmp_path / "a.bam").write_bytes(blocked(head + b"".join(record(k) for k in range(3000))))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = {r.query_name: r for r in bam.bam(spark, str(tmp_path / "a.bam")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 3000
+    assert all((r.contig, r.start, r.end, r.sequence, r.is_reverse) == (f"chr{k % 2 + 1}", k, k + 5, "ACGTA", k % 3 == 0) for k, r in ((int(n[1:]), r) for n, r in rows.items()))
