@@ -97,26 +97,28 @@ def likeness(a, b, ca, cb):
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Each row of ``docs(doc_id, text)`` with ``next_text``: descending ``doc_id``, after the last the first.
+    """Each row of ``docs(doc_id, text)`` with its ``lanes`` and ``next``: text and lanes of the next one.
 
-    Rows are grouped by ranges of ``doc_id`` that hold about ``GROUP`` bytes of text.  The text after a
-    range's last row is the first of the next lower range: range numbers are matched alone, then one text a
-    range is sent to its neighbour.
+    Next is descending by ``doc_id``, after the last the first.  Rows are grouped by ranges of ``doc_id`` that
+    hold about ``GROUP`` bytes of text.  After a range's last row comes the first of the next lower range:
+    range numbers are matched alone, then one text a range is sent to its neighbour.  Lanes are made once a
+    row and travel with their text.
     """
     ranges = Ranges(docs, GROUP)
     rows = docs.withColumn("place", ranges.column())
+    item = F.struct("text", "lanes")
     tops = rows.groupBy("place").agg(F.max("doc_id").alias("top"))
     first = rows.join(small(tops.withColumnRenamed("place", "top_place")), (F.col("place") == F.col("top_place")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = first.groupBy("place").agg(F.min(F.coalesce("text", F.lit(""))).alias("tail"))
+    heads = with_lanes(first.groupBy("place").agg(F.min("text").alias("text")), "text", "lanes").select("place", item.alias("tail"))
     # numbers only, one a range
     down = Window.orderBy(F.desc("place"))
     whole = down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     follows = tops.select(F.col("place").alias("tail_place"), F.coalesce(F.lead("place").over(down), F.first("place").over(whole)).alias("place"))
     tails = heads.join(follows, "place").select("tail_place", "tail")
     inside = Window.partitionBy("place").orderBy(F.desc_nulls_last("doc_id"), F.asc("text"))
-    led = rows.withColumn("next_text", F.lead(F.coalesce("text", F.lit(""))).over(inside))
+    led = with_lanes(rows, "text", "lanes").withColumn("next", F.lead(item).over(inside))
     joined = led.join(tails, F.col("place") == F.col("tail_place"))
-    return joined.select("doc_id", "text", F.coalesce("next_text", "tail").alias("next_text"))
+    return joined.select("doc_id", "text", "lanes", F.coalesce("next", "tail").alias("next"))
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -127,24 +129,21 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited form, and likeness to that and to the next text."""
-    rows = with_next(common.texts(docs))
-    text = F.coalesce("text", F.lit(""))
-    rows = rows.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    rows = common.texts(docs).withColumn("text", F.coalesce("text", F.lit("")))
+    rows = with_next(rows).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next_text", F.lit(1), half))
-    rows = rows.withColumn("edited", edited)
-    for name in ("text", "edited", "next_text"):
-        rows = with_lanes(rows, name, f"{name}_lanes")
-    rows = rows.withColumns({f"{n}_centred": _centred(F.col(f"{n}_lanes")) for n in ("text", "edited", "next_text")})
-    like = lambda n: likeness(F.col("text_lanes"), F.col(f"{n}_lanes"), F.col("text_centred"), F.col(f"{n}_centred"))
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring("next.text", F.lit(1), half))
+    rows = with_lanes(rows.withColumn("edited", edited), "edited", "edited_lanes").withColumn("next_lanes", F.col("next.lanes"))
+    rows = rows.withColumns({f"{n}centred": _centred(F.col(f"{n}lanes")) for n in ("", "edited_", "next_")})
+    like = lambda n: likeness(F.col("lanes"), F.col(f"{n}_lanes"), F.col("centred"), F.col(f"{n}_centred"))
     return rows.select(
         "doc_id",
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
-        render(F.col("text_lanes")).alias("fingerprint"),
+        render(F.col("lanes")).alias("fingerprint"),
         render(F.col("edited_lanes")).alias("edited_fingerprint"),
         like("edited").alias("near_edited"),
-        like("next_text").alias("near_next"),
+        like("next").alias("near_next"),
     )
 
 
