@@ -253,8 +253,13 @@ def digests() -> list[tuple[str, str]]:
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _lower(text):
+    """A-Z in lower case; whole texts of ASCII are turned at once."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def canonical_column(text):
-    c = F.translate(text, UPPER, LOWER)
+    c = _lower(text)
     c = F.regexp_replace(c, COPYRIGHT, "$1")
     c = F.concat(F.lit("  "), F.regexp_replace(c, "[^a-z0-9]+", "  "), F.lit("  "))
     for a, b in SPELLINGS:
@@ -281,7 +286,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """
     table = small(known) if known is not None else F.broadcast(_built_in(docs.sparkSession))
     text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(F.translate(text, UPPER, LOWER), "\n")
+    lines = F.split(_lower(text), "\n")
     if known is None:
         lines = F.filter(lines, lambda x: reduce(lambda a, b: a | b, [x.contains(m) for m in MARKERS]))
     rows = common.texts(docs).select(F.monotonically_increasing_id().alias("row_no"), "doc_id", F.sha2(canonical_column(text), 256).alias("text_digest"), F.transform(lines, lambda x: F.sha2(canonical_column(x), 256)).alias("line_digests"))

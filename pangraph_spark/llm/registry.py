@@ -16,4 +16,10 @@ QUERIES = {
     "op9_document_fingerprints": fingerprints.query,
     "op10_substring_dedup": substrings.query,
 }
-SQL: dict[str, str] = {"op2_license_scan": licenses.sql(), "op5_exact_topk": topk.SQL, "op9_document_fingerprints": fingerprints.sql()}
+SQL: dict[str, str] = {
+    "op2_license_scan": licenses.sql(),
+    "op3_ngram_jaccard_join": similarity.SQL,
+    "op5_exact_topk": topk.SQL,
+    "op9_document_fingerprints": fingerprints.sql(),
+    "op10_substring_dedup": substrings.SQL,
+}
