@@ -22,12 +22,11 @@ import json
 import os
 import unicodedata
 import zlib
-from array import array
 
 import numpy as np
 import regex
 
-from .words import Words
+from .words import LOWER_BYTE, Words, hash_spans
 
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 END = "</w>"
@@ -164,30 +163,35 @@ class Automaton:
         self.base, self.owner, self.target = double_array(nodes, count)
         self.ends = np.array(token, np.int32)
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Ids of each word; empty words have none."""
-        out: list[list[int]] = [[] for _ in words]
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+    def encode_words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words ``data[start:start + length]``, one after another, and how many each word has."""
+        n = len(starts)
         order = np.argsort(lengths, kind="stable")
-        order = order[np.searchsorted(lengths[order], 1) :]
-        at = 0
-        while at < len(order):
+        sizes = lengths[order]
+        words, ids, steps = [], [], []
+        at = int(np.searchsorted(sizes, 1))
+        while at < n:
             # words of like length together; bounded cells, so one very long word stays cheap
-            top = int(lengths[order[at]])
+            top = int(sizes[at])
             top = top + 4 if top < 64 else top * 2
-            upto = min(int(np.searchsorted(lengths[order], top, "right")), at + max(1, 4_000_000 // top))
+            upto = min(int(np.searchsorted(sizes, top, "right")), at + max(1, 4_000_000 // top))
             part = order[at:upto]
-            for k, ids in zip(part.tolist(), self._encode([words[k] for k in part.tolist()]), strict=True):
-                out[k] = ids
+            for step, (who, got) in enumerate(self._encode(data, starts[part], lengths[part])):
+                words.append(part[who])
+                ids.append(got)
+                steps.append(np.full(len(who), step, np.int32))
             at = upto
-        return out
-
-    def _encode(self, words: list[bytes]) -> list[list[int]]:
-        n = len(words)
-        lengths = np.fromiter(map(len, words), np.int64, n)
+        if not words:
+            return np.zeros(0, np.int32), np.zeros(n, np.int64)
+        word, token, step = np.concatenate(words), np.concatenate(ids), np.concatenate(steps)
+        # words are read off from their ends
+        place = np.lexsort((-step, word))
+        return token[place], np.bincount(word, minlength=n)
+
+    def _encode(self, flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        """Yields the last tokens of all words, then those before them, and so on: ``(word, token)`` arrays."""
+        n = len(starts)
         width = int(lengths.max())
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        flat = np.frombuffer(b"".join(words), np.uint8)
         # last[i, j]: the last token of the one segmentation of the first j bytes, -1 where there is none
         last = np.full((n, width + 1), -1, np.int32)
         back = np.zeros((n, width + 1), np.int32)
@@ -220,22 +224,17 @@ class Automaton:
                 last[who, j], back[who, j] = best, size
                 if not whole:
                     state[who, j] = np.where(best >= 0, behind[best], -1)
-        out = [[] for _ in range(n)]
-        pos, live = lengths.copy(), rows
+        pos, live = lengths.astype(np.int64), rows
         while len(live):
             got = last[live, pos[live]]
             if (got < 0).any():
                 raise ValueError("a word has no path; the vocabulary lacks a base symbol")
-            for w, t in zip(live.tolist(), got.tolist(), strict=True):
-                out[w].append(t)
+            yield live, got
             pos[live] -= back[live, pos[live]]
             live = live[pos[live] > 0]
-        for ids in out:
-            ids.reverse()
-        return out
 
     def pieces(self, chunk: str) -> list[bytes | int]:
-        """Pre-split words (bytes) and special tokens (ids) of a text."""
+        """Pre-split words (bytes) and special tokens (ids) of a text of any kind."""
         if "<|" in chunk:
             parts = self._specials().split(chunk)
             if len(parts) > 1:
@@ -266,62 +265,143 @@ class Automaton:
         return " ".join([self.names[i] for i in ids])
 
 
+# Byte classes of plain text: letters, digits, and what else stands in runs of its own.  Quotes that may
+# begin a contraction, separators and whatever is not ASCII are 0.
+LETTER, DIGIT, OTHER = 1, 2, 3
+CLASS = np.zeros(256, np.uint8)
+CLASS[[b for b in range(0x21, 0x7F) if b != 0x27]] = OTHER
+CLASS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+CLASS[[*range(0x30, 0x3A)]] = DIGIT
+
+
+def _two_byte_letters() -> tuple[np.ndarray, np.ndarray]:
+    """For code points of two bytes: whether one is a letter that stays one when normalised, and what it becomes."""
+    good, to = np.zeros(0x800, bool), np.arange(0x800)
+    for c in range(0x80, 0x800):
+        low = unicodedata.normalize("NFC", chr(c)).replace("Σ", "σ").lower()
+        if len(low) == 1 and 0x80 <= ord(low) < 0x800 and unicodedata.category(low)[0] == "L" and unicodedata.normalize("NFC", low) == low:
+            good[c], to[c] = True, ord(low)
+    return good, to
+
+
 class Encoder:
     """Encodes Arrow batches of texts, each distinct white-space delimited chunk once.
 
     White space is never part of a token and nothing before it changes what follows, so a chunk's ids
-    depend on the chunk alone.  Chunks are told apart by 64-bit hashes.  ``learn(ids)`` turns a chunk's
-    ids into the bytes to keep for it; the memo is emptied when it reaches ``limit`` entries, which costs
-    time and never changes results.
+    depend on the chunk alone.  Chunks are told apart by 64-bit hashes.  Plain chunks, of letters of one or
+    two bytes, digits and signs, are normalised and split into words as arrays; the others one by one, as
+    texts.  Distinct words meet the automaton together.  Ids of up to ``limit`` words, and of as many other
+    chunks, are kept from batch to batch, or those of one batch; that saves time and never changes results.
     """
 
-    def __init__(self, automaton: Automaton, learn=None, limit: int = 300_000):
+    def __init__(self, automaton: Automaton, limit: int = 300_000):
         self.automaton, self.limit = automaton, limit
-        self.learn = learn or (lambda ids: array("i", ids).tobytes())
-        self.memo: dict[int, bytes] = {}
-        self.words: dict[bytes, list[int]] = {}
+        self.memo: dict[int, np.ndarray] = {}
+        self.known, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.starts, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.letter, self.low = _two_byte_letters()
 
-    def batch(self, words: Words):
-        """``(inverse, values)``: each word's index into the list of its batch's distinct values."""
+    def batch(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(inverse, ids, starts, counts)``: word k has the ids from ``starts[inverse[k]]`` on, ``counts[...]`` of them."""
         distinct, first, inverse = np.unique(words.hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
+        size = (words.ends - words.starts)[first]
+        data, _ = take(words.data, words.starts[first], size)
+        bounds = np.concatenate(([0], np.cumsum(size)))
+        plain, data, kind = self._classes(data, bounds)
+        keep = np.repeat(plain, size)
+        ids, n = self._plain(data[keep], kind[keep], size[plain])
+        counts = np.zeros(len(distinct), np.int64)
+        counts[plain] = n
+        odd = np.flatnonzero(~plain)
+        texts = [words.data[a:b].tobytes().decode() for a, b in zip(words.starts[first[odd]].tolist(), words.ends[first[odd]].tolist(), strict=True)]
+        more = self._others(distinct[odd].tolist(), texts)
+        counts[odd] = [len(x) for x in more]
+        starts = np.zeros(len(distinct), np.int64)
+        starts[plain] = np.cumsum(n) - n
+        starts[odd] = len(ids) + np.cumsum(counts[odd]) - counts[odd]
+        return inverse, np.concatenate((ids, *more)).astype(np.int32), starts, counts
+
+    def _classes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which chunks are plain, and all bytes in lower case with their classes."""
+        kind = CLASS[data]
+        low = LOWER_BYTE[data]
+        lead = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+        point = (data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63
+        lead, point = lead[self.letter[point]], self.low[point[self.letter[point]]]
+        kind[lead], kind[lead + 1] = LETTER, LETTER
+        low[lead], low[lead + 1] = 0xC0 | point >> 6, 0x80 | point & 63
+        # special tokens begin so
+        mark = np.flatnonzero((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        kind[mark] = 0
+        bad = np.concatenate(([0], np.cumsum(kind == 0)))
+        return bad[bounds[1:]] == bad[bounds[:-1]], low, kind
+
+    def _plain(self, data: np.ndarray, kind: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain chunks, one after another, and how many each has."""
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(size), np.int64)
+        new = kind == DIGIT
+        new[1:] |= kind[1:] != kind[:-1]
+        begin = np.cumsum(size) - size
+        new[begin] = True
+        at = np.flatnonzero(new)
+        length = np.diff(at, append=len(data))
+        distinct, first, inverse = np.unique(hash_spans(data, at, at + length), return_index=True, return_inverse=True)
+        starts, n = self._words(distinct, data, at[first], length[first])
+        out, each = take(self.ids, starts[inverse], n[inverse])
+        return out, np.add.reduceat(each, np.searchsorted(at, begin))
+
+    def _words(self, distinct: np.ndarray, data: np.ndarray, at: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``ids`` each of some distinct words begins, given by sorted hashes, and how many ids it has."""
+        place = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        held = self.known[place] == distinct if len(self.known) else np.zeros(len(distinct), bool)
+        ids, n = self.automaton.encode_words(data, at[~held], length[~held])
+        starts, counts = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
+        starts[held], counts[held] = self.starts[place[held]], self.counts[place[held]]
+        starts[~held], counts[~held] = len(self.ids) + np.cumsum(n) - n, n
+        self.ids = np.concatenate((self.ids, ids))
+        if len(self.known) + len(n) > self.limit:
+            # what this batch has stays
+            self.ids, _ = take(self.ids, starts, counts)
+            starts = np.cumsum(counts) - counts
+            self.known, self.starts, self.counts = distinct, starts, counts
+        elif len(n):
+            every = np.concatenate((self.known, distinct[~held]))
+            order = np.argsort(every, kind="stable")
+            self.known = every[order]
+            self.starts, self.counts = (np.concatenate((x, y[~held]))[order] for x, y in ((self.starts, starts), (self.counts, counts)))
+        return starts, counts
+
+    def _others(self, keys: list[int], texts: list[str]) -> list[np.ndarray]:
+        """Ids of each of some chunks of any kind."""
         if len(self.memo) + len(keys) > self.limit:
             self.memo = {}
-        values = list(map(self.memo.get, keys))
-        missed = [k for k, v in enumerate(values) if v is None]
-        if missed:
-            at = first[np.array(missed)]
-            data = words.data
-            texts = [data[a:b].tobytes().decode() for a, b in zip(words.starts[at].tolist(), words.ends[at].tolist(), strict=True)]
-            for k, v in zip(missed, self.encode(texts), strict=True):
-                values[k] = self.memo[keys[k]] = v
-        return inverse, values
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self.words
-        if len(known) > self.limit:
-            known.clear()
-        pieces = [self.automaton.pieces(c) for c in texts]
-        fresh = list({p for x in pieces for p in x if p not in known and isinstance(p, bytes)})
-        if fresh:
-            known.update(zip(fresh, self.automaton.encode_words(fresh), strict=True))
-        learn = self.learn
-        return [learn(known[x[0]] if len(x) == 1 and isinstance(x[0], bytes) else [i for p in x for i in ((p,) if isinstance(p, int) else known[p])]) for x in pieces]
-
-
-def spread(inverse: np.ndarray, values: list[bytes], kind=np.uint8) -> tuple[np.ndarray, np.ndarray]:
-    """The values of all words one after another, and how many items of ``kind`` each word has."""
-    item = np.dtype(kind).itemsize
-    lengths = np.fromiter(map(len, values), np.int64, len(values)) // item
-    flat = np.frombuffer(b"".join(values), kind)
-    n = lengths[inverse]
-    total = int(n.sum())
-    if not total:
-        return np.zeros(0, kind), n
-    gap = (np.cumsum(lengths) - lengths)[inverse] - (np.cumsum(n) - n)
-    at = np.repeat(gap, n)
+        out = [self.memo.get(k) for k in keys]
+        missed = [k for k, v in enumerate(out) if v is None]
+        pieces = [self.automaton.pieces(texts[k]) for k in missed]
+        fresh = list({p for x in pieces for p in x if isinstance(p, bytes)})
+        size = np.fromiter(map(len, fresh), np.int64, len(fresh))
+        ids, n = self.automaton.encode_words(np.frombuffer(b"".join(fresh), np.uint8), np.cumsum(size) - size, size)
+        known = dict(zip(fresh, np.split(ids, np.cumsum(n)[:-1]), strict=True)) if fresh else {}
+        for k, x in zip(missed, pieces, strict=True):
+            found = [known[p] if isinstance(p, bytes) else np.array([p], np.int32) for p in x]
+            out[k] = np.concatenate(found) if found else np.zeros(0, np.int32)
+            self.memo[keys[k]] = out[k]
+        return out
+
+
+def take(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items ``flat[start:start + count]`` of all spans, one after another, and the counts."""
+    total = int(counts.sum())
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts)
     at += np.arange(total)
-    return flat[at], n
+    return flat[at], counts
+
+
+def spread(inverse: np.ndarray, values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all values one after another, and how many each has."""
+    lengths = np.fromiter(map(len, values), np.int64, len(values))
+    return take(np.frombuffer(b"".join(values), np.uint8), (np.cumsum(lengths) - lengths)[inverse], lengths[inverse])
 
 
 _KEPT: dict[tuple[str, int, int], Automaton] = {}

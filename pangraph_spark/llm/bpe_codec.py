@@ -2,7 +2,8 @@
 
 ``encode`` gives each document's ids, ``round_trip`` also what they decode to.  Null and empty texts have
 no ids and decode to the empty text.  Rows are independent of each other, so repeated rows, null ids and
-very long texts need no special case.
+very long texts need no special case; an empty table gives an empty table.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +24,9 @@ DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 def token_ids(enc: bpe.Encoder, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All ids of some documents, and where each document's begin."""
     words = split_words(data, offsets)
-    inverse, values = enc.batch(words)
-    ids, n = bpe.spread(inverse, values, np.int32)
-    return ids, np.concatenate(([0], np.cumsum(per_document(words, n.astype(np.int64)))))
+    inverse, ids, starts, counts = enc.batch(words)
+    found, n = bpe.take(ids, starts[inverse], counts[inverse])
+    return found, np.concatenate(([0], np.cumsum(per_document(words, n))))
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -33,7 +34,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(bpe.automaton(tokenizer))
 
     def step(batch):
-        enc = encoder(shared.value, None, "ids")
+        enc = encoder(shared.value)
         for rows, data, offsets in text_slices(batch):
             ids, at = token_ids(enc, data, offsets)
             yield common.arrow(doc_id=common.rows_of(batch, "doc_id", rows), ids=pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)))
@@ -77,7 +78,7 @@ def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def step(batch):
         automaton = shared.value
-        enc = encoder(automaton, None, "ids")
+        enc = encoder(automaton)
         numbers, names = automaton.labels()
         for rows, data, offsets in text_slices(batch):
             ids, at = token_ids(enc, data, offsets)

@@ -36,7 +36,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFra
     shared = docs.sparkSession.sparkContext.broadcast(bpe.automaton(tokenizer))
 
     def step(batch):
-        enc = encoder(shared.value, None, "ids")
+        enc = encoder(shared.value)
         for rows, data, offsets in text_slices(batch):
             ids, at = token_ids(enc, data, offsets)
             n = np.diff(at)

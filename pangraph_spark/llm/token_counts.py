@@ -24,11 +24,11 @@ SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 REPORT = ", n_chunks long, n_widened long"
 
 
-def encoder(automaton: bpe.Automaton, learn, name: str) -> bpe.Encoder:
+def encoder(automaton: bpe.Automaton) -> bpe.Encoder:
     """The encoder of this worker process; its memo outlives tasks, but not the operator."""
-    key = (name, automaton.key)
+    key = ("encoder", automaton.key)
     if key not in common.KEPT:
-        common.KEPT[key] = bpe.Encoder(automaton, learn)
+        common.KEPT[key] = bpe.Encoder(automaton)
     return common.KEPT[key]
 
 
@@ -102,11 +102,11 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, chunk: int
     shared = docs.sparkSession.sparkContext.broadcast(bpe.automaton(tokenizer))
 
     def step(batch):
-        enc = encoder(shared.value, len, "counts")
+        enc = encoder(shared.value)
 
         def encode(words):
-            inverse, values = enc.batch(words)
-            return np.array(values, np.int64)[inverse]
+            inverse, _, _, counts = enc.batch(words)
+            return counts[inverse]
 
         for rows, data, offsets in text_slices(batch, limit=4 << 20):
             tokens, chunks, widened = spliced_counts(data, offsets, encode, chunk, overlap)

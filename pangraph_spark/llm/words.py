@@ -20,8 +20,8 @@ SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 #: Separators of plain words: all of ASCII but letters and digits.
 SYMBOLS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER_BYTE = np.arange(256, dtype=np.uint8)
+LOWER_BYTE[65:91] += 32
 _BYTE = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -57,6 +57,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the byte spans of one array."""
+    p, inv = _powers(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * p[: len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -116,12 +124,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, sepa
         finish = word.copy()
         finish[:-1] &= ~word[1:] | e[1:-1]
         s, f = np.flatnonzero(begin), np.flatnonzero(finish) + 1
-        p, inv = _powers(len(part))
-        if lower:
-            part = _LOWER[part]
-        total = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * p[: len(part)], out=total[1:])
-        hashes.append(mix((total[f] - total[s]) * inv[s] + (f - s).astype(np.uint64)))
+        hashes.append(hash_spans(LOWER_BYTE[part] if lower else part, s, f))
         starts.append(s + at)
         ends.append(f + at)
         at = upto
