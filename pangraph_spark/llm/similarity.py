@@ -13,7 +13,9 @@
 
 Rows with one ``doc_id`` are one document: a link of any of them counts for all.  Rows without id link
 with nothing.  Null texts and texts without words have an empty set and link with nothing.  A text of fewer
-than 5 words has one shingle, its whole sequence.  Other columns are not read.
+than 5 words has one shingle, its whole sequence.  A text is read whole however long it is, by one task; an
+empty table gives an empty table.  Other columns, whatever their names, are kept by :func:`keep_one` and
+ignored by :func:`groups`.
 """
 
 from __future__ import annotations
@@ -25,8 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common
 from .components import EDGES, components, forest
-from .grouped import Ranges, by_bucket, pack, unpack
+from .grouped import by_bucket, pack, unpack
 from .prefix_tree import link
+from .ranges import Ranges
 from .words import U, mix, powers, split_words, text_bytes, text_slices, windows
 
 SHINGLE = 5
@@ -93,7 +96,7 @@ def heavy_shingles(docs: DataFrame, ranges: Ranges) -> DataFrame:
     """``part, data``: for each range its heavy shingles and how heavy they are."""
 
     def emit(batch):
-        part_of = ranges.of(batch.column(0).fill_null(-(2**63)).to_numpy())
+        part_of = batch.column(0).to_numpy()
         for rows, data, offsets in text_slices(batch, "text", 4 << 20):
             sets = shingle_sets(data, offsets)
             seen, picked = set(), []
@@ -136,7 +139,7 @@ def heavy_shingles(docs: DataFrame, ranges: Ranges) -> DataFrame:
         ends = [*cuts[1:].tolist(), len(part)]
         return pa.table({"part": pa.array(part[cuts].astype(np.int32)), "data": pa.array([pack(h[a:b], level[a:b]) for a, b in zip(cuts.tolist(), ends, strict=False)], pa.binary())})
 
-    sent = common.map_arrow(docs, emit, "bucket int, part int, data binary")
+    sent = common.map_arrow(docs.select(ranges.column().alias("part"), "text"), emit, "bucket int, part int, data binary")
     return sent.select("bucket", "data").groupBy("bucket").applyInArrow(meet, "part int, data binary")
 
 
@@ -256,12 +259,17 @@ PLACE = ["doc_id", "n", "block", "band", "sub", "large"]
 
 
 def _trees(blocks: DataFrame) -> DataFrame:
-    """Adds ``band``, ``sub`` and ``large`` to ``doc_id, n, block``: the tree that each set is in."""
-    sizes = blocks.groupBy("block").agg((F.count("*") > CHUNK).alias("large"))
+    """Adds ``band``, ``subs``, ``sub`` and ``large`` to ``doc_id, n, block``: the tree that each set is in.
+
+    Only large blocks are looked up, and there are few of them; their rows stay where they are.
+    """
+    large = common.cut(blocks.groupBy("block").agg(F.count("*").alias("members")).where(F.col("members") > CHUNK).select("block", F.lit(True).alias("large")))
+    rows = common.attach(blocks, large, ["block"]).withColumn("large", F.coalesce("large", F.lit(False)))
     band = F.when(F.col("large"), F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")).otherwise(F.lit(0))
-    rows = blocks.join(sizes, "block").withColumn("band", band)
-    subs = rows.groupBy("block", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("subs"))
-    return rows.join(subs, ["block", "band"]).withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int"))
+    rows = rows.withColumn("band", band)
+    bands = rows.where("large").groupBy("block", "band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("subs")).where("subs > 1")
+    rows = common.attach(rows, common.cut(bands), ["block", "band"]).withColumn("subs", F.coalesce("subs", F.lit(1)))
+    return rows.withColumn("sub", F.pmod(F.xxhash64("doc_id"), F.col("subs")).cast("int"))
 
 
 def _neighbours(rows: DataFrame, trees: DataFrame) -> DataFrame:
@@ -285,7 +293,7 @@ def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     ranges = Ranges(docs)
     common.ship(docs.sparkSession)
     blocks = components(candidate_edges(docs, ranges)).select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
-    blocks = blocks.join(sets.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id")
+    blocks = common.cut(blocks.join(sets.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id"))
     trees = common.cut(_trees(blocks))
     total = trees.agg(F.count("*").alias("n"), F.coalesce(F.max("large"), F.lit(False)).alias("large")).first()
     packs = max(1, -(-total.n // PACK), min(total.n // 64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -351,5 +359,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
+SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT CAST(doc_id AS BIGINT) AS doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS p FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT x.a, x.b FROM (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS n FROM shingles p JOIN shingles q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY ALL) x
+  JOIN sizes y ON y.doc_id = x.a JOIN sizes z ON z.doc_id = x.b WHERE 100 * x.n >= 80 * (y.n + z.n - x.n)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id
+FROM docs d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return groups(common.table(spark, sf_dir, "documents"))
