@@ -343,7 +343,7 @@ def groups(docs: DataFrame) -> DataFrame:
     if sets.isEmpty():
         return sets.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     some = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    links = similar_links(docs, some)
+    links = similar_links(docs.where(F.col("doc_id").isNotNull()), some)
     found = components(links.unionByName(_equal_sets(some)))
     return sets.join(found, sets.doc_id == found.node, "left").select(sets.doc_id, "n_shingles", F.coalesce("root", sets.doc_id).alias("component_id"))
 

@@ -6,6 +6,7 @@ import textwrap
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,37 @@ def test_text_operators_ignore_clashing_columns(spark):
     assert packing.pack(docs, path).groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_long_texts_are_counted_by_chunks(spark):
+    """Chunks are spliced, overlaps without a boundary are widened, and counts stay those of whole texts."""
+    texts = ["wort, und mehr " * 4000, "x" * 30_000 + " y", "kurz", "é" * 9000 + " ende " * 900, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    found = {r.doc_id: r for r in token_counts.count_tokens(docs, tokenizer_path(), report=True).collect()}
+    whole = {r.doc_id: r.n_tokens for r in bpe_codec.round_trip(docs, tokenizer_path()).collect()}
+    assert {k: r.n_tokens for k, r in found.items()} == whole
+    assert found[0].n_chunks > 5 and found[0].n_widened == 0 and found[1].n_widened > 0 and found[3].n_widened > 0
+    assert found[2].n_chunks == found[4].n_chunks == 1
+
+
+def test_plain_chunks_are_encoded_as_any_others():
+    """Arrays and texts give the same ids, with words held from batch to batch or not."""
+    from tokenizers import Tokenizer
+
+    from pangraph_spark.llm import bpe
+    from pangraph_spark.llm.words import text_bytes
+
+    library = Tokenizer.from_file(tokenizer_path())
+    rng = random.Random(12)
+    letters = [chr(c) for c in [*range(0x21, 0x7F), *range(0xA1, 0x250), *range(0x370, 0x530), 0x1F600, 0x4E2D, 0x301, 0x2161]]
+    texts = ["".join(rng.choice([*"aeinrst" * 60, *letters, " ", " "]) for _ in range(rng.randrange(80))) for _ in range(1500)]
+    texts += ["it's we'll o'clock 'tis", "A1b2 -- ... !? (x)", "<|endoftext|>a<|b", "ÀÉÎ ŠŽ ΣΑΣ ДОМ", "x,y.z;", "é" * 50]
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    for limit in (300_000, 50, 0):
+        enc = bpe.Encoder(bpe.automaton(tokenizer_path()), limit=limit)
+        for part in (slice(0, 700), slice(500, None), slice(0, None)):
+            ids, at = bpe_codec.token_ids(enc, *text_bytes(pa.array(texts[part])))
+            assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want[part]
+
+
 def test_packing_of_ties(spark):
     """Equal lengths take distinct places, whatever the order of rows."""
     docs = spark.createDataFrame([(k % 7, "the the the") for k in range(500)], SCHEMA)
