@@ -50,7 +50,7 @@ def by_bucket(hashes: np.ndarray, buckets: int):
         yield 0, np.arange(len(hashes))
         return
     bucket = (hashes >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")  # 16 bits are sorted by radix
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
         yield int(bucket[order[a]]), order[a:b]

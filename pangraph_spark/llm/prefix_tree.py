@@ -3,7 +3,8 @@
 Sets are ordered by one global order of their elements and stored in a path-compressed tree, so sets that
 begin alike share nodes.  A probe walks the tree and carries its overlap with the path, counted once for
 all sets below.  A subtree is left when even its longest remainder cannot reach the needed overlap, and
-when all its sets are known to be in the probe's component.
+when all its sets are known to be in the probe's component.  Probes that are neighbours in the tree walk it
+together, so a node costs a few array steps for all of them; each leaves where it would alone.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import numpy as np
 
 # |x & y| / |x | y| >= 80 / 100 is the same as 180 * |x & y| >= 80 * (|x| + |y|)
 NEED, HAVE = 4, 9
+CELLS = 1 << 22  # elements times probes that walk together
 
 
 class Tree:
@@ -55,30 +57,52 @@ class Tree:
                 self.children[node].append(new)
                 todo.append((new, a, b, upto))
 
-    def probe(self, x: np.ndarray, mask: np.ndarray, size: int, component: np.ndarray, mine: int, start: int = 0):
-        """Sets from index ``start`` on that are similar to ``x``; ``component`` may change between yields."""
-        total = len(x)
-        todo = [(c, 0) for c in self.children[0]]
-        for k in range(start, self.high[0]):  # empty remainders end at the root
-            if len(self.sets[k]):
-                break
+    def walk(self, probes: np.ndarray, component: np.ndarray, row: np.ndarray, later: bool):
+        """``(probe, set)`` for each link that joins two components, which ``component`` then holds as one.
+
+        ``row`` has a zero for each element and is left so.  With ``later`` a probe meets only the sets behind it.
+        """
+        values = np.unique(np.concatenate([self.sets[k] for k in probes.tolist()]))
+        row[values] = np.arange(1, len(values) + 1)
+        held = np.zeros((len(values) + 1, len(probes)), bool)
+        for j, k in enumerate(probes.tolist()):
+            held[row[self.sets[k]], j] = True
+        upto = np.cumsum(held, axis=0, dtype=np.int32)
+        total, sizes = upto[-1], self.sizes[probes]
+        all_ = np.arange(len(probes))
+        todo = [(c, all_, np.zeros(len(probes), np.int64)) for c in self.children[0]]
         while todo:
-            node, have = todo.pop()
-            low, high = max(self.low[node], start), self.high[node]
-            if low >= high or (component[low:high] == component[mine]).all():
-                continue
+            node, who, have = todo.pop()
+            low, high = self.low[node], self.high[node]
+            stay = probes[who] < high - 1 if later else np.ones(len(who), bool)
+            if (component[low:high] == component[low]).all():
+                stay &= component[probes[who]] != component[low]
+            if not stay.all():
+                who, have = who[stay], have[stay]
+                if not len(who):
+                    continue
             part = self.sets[self.owner[node]][self.begin[node] : self.end[node]]
-            have += int(np.count_nonzero(mask[part]))
-            rest = total - int(np.searchsorted(x, part[-1], "right"))
-            best = have + min(rest, self.longest[node] - self.end[node])
-            if HAVE * best < NEED * (size + self.least[node]):
-                continue
-            k = self.low[node]
+            known = row[part]
+            known = known[known > 0]
+            if len(known):
+                have = have + np.count_nonzero(held[known] if len(who) == len(probes) else held[known[:, None], who], axis=0)
+            rest = total[who] - upto[np.searchsorted(values, part[-1], "right"), who]
+            best = have + np.minimum(rest, self.longest[node] - self.end[node])
+            stay = HAVE * best >= NEED * (sizes[who] + self.least[node])
+            if not stay.all():
+                who, have = who[stay], have[stay]
+                if not len(who):
+                    continue
+            k = low
             while k < high and len(self.sets[k]) == self.end[node]:
-                if k >= start and component[k] != component[mine] and HAVE * have >= NEED * (size + int(self.sizes[k])):
-                    yield k
+                near = (HAVE * have >= NEED * (sizes[who] + int(self.sizes[k]))) & (component[probes[who]] != component[k])
+                for x in probes[who[near]].tolist():
+                    if component[x] != component[k] and (x < k or not later):
+                        yield x, k
+                        component[component == component[k]] = component[x]
                 k += 1
-            todo += [(c, have) for c in self.children[node]]
+            todo += [(c, who, have) for c in self.children[node]]
+        row[values] = 0
 
 
 def link(sets: list[np.ndarray], component: np.ndarray, probes: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -102,15 +126,13 @@ def link(sets: list[np.ndarray], component: np.ndarray, probes: np.ndarray | Non
     tree = Tree([ordered[k] for k in order], sizes[order])
     component = component[order].copy()
     asked = np.ones(len(sets), bool) if probes is None else probes[order]
-    mask = np.zeros(max(1, len(values) - alone), bool)
-    out = []
-    for k in np.flatnonzero(asked).tolist():
-        x = tree.sets[k]
-        if not len(x):
-            continue
-        mask[x] = True
-        for m in tree.probe(x, mask, int(tree.sizes[k]), component, k, start=k + 1 if probes is None else 0):
-            out.append((order[k], order[m]))
-            component[component == component[m]] = component[k]
-        mask[x] = False
+    row = np.zeros(max(1, len(values) - alone), np.int32)
+    asked = np.array([k for k in np.flatnonzero(asked).tolist() if len(tree.sets[k])], np.int64)
+    out, at = [], 0
+    while at < len(asked):
+        # as many as surely fit: n sets of m elements make n * n * m cells at most
+        longest = np.maximum.accumulate([len(tree.sets[k]) for k in asked[at : at + 256].tolist()])
+        upto = at + max(1, int(np.searchsorted(longest * np.arange(1, len(longest) + 1) ** 2, CELLS, "right")))
+        out += [(order[x], order[k]) for x, k in tree.walk(asked[at:upto], component, row, probes is None)]
+        at = upto
     return out

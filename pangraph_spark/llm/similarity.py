@@ -5,8 +5,8 @@
    boilerplate out of prefixes, and with it texts out of blocks.
 2. Candidates.  Two sets at the threshold share an element of their prefixes.  Texts that share a prefix
    element are joined into blocks.  Per element that takes a star of edges, not its pairs.
-3. Trees.  A block's sets meet in one task, which builds a prefix tree over them and walks it with each
-   set (see :mod:`.prefix_tree`).  Large blocks are cut into trees by bands of set size, and by hash where
+3. Trees.  A block's sets meet in one task, which builds a prefix tree over them and walks it with all
+   sets (see :mod:`.prefix_tree`).  Large blocks are cut into trees by bands of set size, and by hash where
    a band is still large.  Similar sets are in one band or in neighbouring ones.  First some leaders visit
    the trees around theirs; then whatever is not in its block's largest component visits them as a probe.
 4. Components of the verified links, together with equal sets, name the groups.
@@ -44,6 +44,13 @@ PACK = 2048  # sets of small blocks in one task
 _POW = powers(0x9E3779B97F4A7C15, 8)
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted values once each; for short arrays much faster than ``np.unique``."""
+    new = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=new[1:])
+    return h if new.all() else h[new]
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Each document's distinct shingle hashes, ascending."""
     w = split_words(data, offsets, lower=True)
@@ -51,7 +58,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         if b - a >= SHINGLE:
-            out.append(np.unique(h[a : b - SHINGLE + 1]))
+            out.append(_distinct(np.sort(h[a : b - SHINGLE + 1])))
         elif b > a:
             out.append(mix((w.hashes[a:b] * _POW[: b - a]).sum(keepdims=True) + U(b - a)))
         else:
@@ -77,6 +84,10 @@ def _long(high: np.ndarray, low: np.ndarray) -> np.ndarray:
     return high.view(np.uint32).astype(np.uint64) << U(32) | low.view(np.uint16).astype(np.uint64) << U(16)
 
 
+SETS = "doc_id long, n_shingles long, sig long"
+OWN = -1  # in place of a receiver: what a range says of its own rows
+
+
 def set_table(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, sig`` of each row."""
 
@@ -85,7 +96,7 @@ def set_table(docs: DataFrame) -> DataFrame:
             sets = shingle_sets(data, offsets)
             yield common.arrow(doc_id=common.rows_of(batch, "doc_id", rows), n_shingles=np.array([len(s) for s in sets], np.int64), sig=np.array([signature(s) for s in sets], np.int64))
 
-    return common.map_arrow(docs, step, "doc_id long, n_shingles long, sig long")
+    return common.map_arrow(docs, step, SETS)
 
 
 def _entries(bucket, part, data) -> pa.RecordBatch:
@@ -99,39 +110,39 @@ def heavy_shingles(docs: DataFrame, ranges: Ranges) -> DataFrame:
         part_of = batch.column(0).to_numpy()
         for rows, data, offsets in text_slices(batch, "text", 4 << 20):
             sets = shingle_sets(data, offsets)
-            seen, picked = set(), []
-            for p, s in zip(part_of[rows].tolist(), sets, strict=True):
-                key = (p, signature(s))
-                if len(s) and key not in seen:  # copies count once
+            seen, picked = set(), {}
+            for p, x in zip(part_of[rows].tolist(), sets, strict=True):
+                key = (p, signature(x))
+                if len(x) and key not in seen:  # copies count once
                     seen.add(key)
-                    picked.append((p, s))
+                    picked.setdefault(p, []).append(x)
             if not picked:
                 continue
-            h = np.concatenate([s for _, s in picked]) & ~U(0xFFFF)
-            part = np.repeat(np.array([p for p, _ in picked], np.int64), [len(s) for _, s in picked])
-            order = np.lexsort((h, part))
-            h, part = h[order], part[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (part[1:] != part[:-1])
-            at = np.flatnonzero(new)
-            n = np.minimum(np.diff(at, append=len(h)), 65535).astype(np.int64)
-            h, part = h[at], part[at]
-            found = [(b, pack(*_short(h[r]), part[r], n[r])) for b, r in by_bucket(h, SPLIT * ranges.buckets)]
+            hashes, parts, times = [], [], []
+            for p in sorted(picked):
+                h = np.sort(np.concatenate(picked[p]) & ~U(0xFFFF))
+                at = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+                hashes.append(h[at])
+                times.append(np.minimum(np.diff(at, append=len(h)), 65535).astype(np.uint16))
+                parts.append(np.full(len(at), p, np.int32))
+            h, part, n = np.concatenate(hashes), np.concatenate(parts), np.concatenate(times)
+            # places and counts are runs of few values, which the shuffle's own compression takes out
+            found = [(b, pack(*_short(h[r]), part[r], n[r].view(np.uint8))) for b, r in by_bucket(h, SPLIT * ranges.buckets)]
             yield _entries([b for b, _ in found], [0] * len(found), [d for _, d in found])
 
     @common.grouped
     def meet(table: pa.Table) -> pa.Table:
         found = [unpack(x) for x in table["data"].to_pylist()]
         h = np.concatenate([_long(x[0], x[1]) for x in found])
-        part, n = (np.concatenate([x[k] for x in found]).astype(np.int32) for k in (2, 3))
+        part, n = np.concatenate([x[2] for x in found]), np.concatenate([x[3].view(np.uint16) for x in found])
         del found
-        order = np.argsort(h, kind="stable")
+        order = np.argsort(h)
         h, part, n = h[order], part[order], n[order]
         edge = np.flatnonzero(np.diff(h, prepend=~h[:1]) != 0)
         total = np.add.reduceat(n.astype(np.int64), edge)
         times = np.diff(edge, append=len(h))
         keep = np.repeat(total >= HEAVY, times)
-        level = np.repeat(np.log2(total).astype(np.int64), times)[keep]
+        level = np.repeat(np.log2(total).astype(np.uint8), times)[keep]
         h, part = h[keep], part[keep]
         order = np.lexsort((h, part))
         h, part, level = h[order], part[order], level[order]
@@ -144,19 +155,22 @@ def heavy_shingles(docs: DataFrame, ranges: Ranges) -> DataFrame:
 
 
 def _range_sets(table: pa.Table):
-    """Ids and sets of a range's rows that have both, in the order of ids."""
-    table = table.filter(pa.compute.is_valid(table["doc_id"])).sort_by("doc_id")
+    """Ids and sets of a range's rows, in the order of ids."""
+    table = table.sort_by("doc_id")
     data, offsets = text_bytes(table["text"])
     at, n, ids = 0, len(offsets) - 1, table["doc_id"].to_numpy()
     while at < n:
         upto = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (4 << 20), "right")) - 1)
         sets = shingle_sets(data[offsets[at] : offsets[upto]], offsets[at : upto + 1] - offsets[at])
-        yield from ((i, s) for i, s in zip(ids[at:upto].tolist(), sets, strict=True) if len(s))
+        yield from zip(ids[at:upto].tolist(), sets, strict=True)
         at = upto
 
 
-def candidate_edges(docs: DataFrame, ranges: Ranges) -> DataFrame:
-    """``a, b``: edges that connect all documents that share a prefix element."""
+def candidate_edges(docs: DataFrame, ranges: Ranges) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: edges that connect all documents that share a prefix element; and the sets of all rows.
+
+    Every row has an id.  The sets are a by-product of the prefixes, so texts are split once less.
+    """
     placed = docs.select(ranges.column().alias("part"), "doc_id", "text")
     heavy = heavy_shingles(docs, ranges)
 
@@ -166,12 +180,13 @@ def candidate_edges(docs: DataFrame, ranges: Ranges) -> DataFrame:
             return pa.Table.from_batches([_entries([], [], [])])
         known = [unpack(x) for x in marks["data"].to_pylist()]
         h = np.concatenate([x[0] for x in known]) if known else np.zeros(0, np.uint64)
-        level = np.concatenate([x[1] for x in known]) if known else np.zeros(0, np.int64)
+        level = np.concatenate([x[1] for x in known]) if known else np.zeros(0, np.uint8)
         order = np.argsort(h)
         h, level = h[order], level[order]
-        seen, ids, parts = set(), [], []
+        seen, ids, parts, own = set(), [], [], []
         for i, s in _range_sets(table):
-            if (sig := signature(s)) in seen:
+            own.append((i, len(s), sig := signature(s)))
+            if not len(s) or sig in seen:
                 continue
             seen.add(sig)
             p = prefix_size(len(s))
@@ -179,16 +194,16 @@ def candidate_edges(docs: DataFrame, ranges: Ranges) -> DataFrame:
             if len(h):
                 at = np.minimum(np.searchsorted(h, short), len(h) - 1)
                 weight = np.where(h[at] == short, level[at], 0)
-                short = short[np.lexsort((s, weight))[:p]]
+                light = np.flatnonzero(weight == 0)
+                short = short[light[:p] if len(light) >= p else np.argsort(weight, kind="stable")[:p]]
             else:
                 short = short[:p]
             ids.append(i)
             parts.append(short)
-        if not parts:
-            return pa.Table.from_batches([_entries([], [], [])])
-        all_h = np.concatenate(parts)
+        all_h = np.concatenate([h[:0], *parts])
         doc = np.repeat(np.array(ids, np.int64), [len(x) for x in parts])
         found = [(b, pack(*_short(all_h[r]), doc[r])) for b, r in by_bucket(all_h, ranges.buckets)]
+        found.append((OWN, pack(*np.array(own, np.int64).T.copy())))
         return pa.Table.from_batches([_entries([b for b, _ in found], [0] * len(found), [d for _, d in found])])
 
     @common.grouped
@@ -201,8 +216,14 @@ def candidate_edges(docs: DataFrame, ranges: Ranges) -> DataFrame:
         node, root = forest(doc[same + 1], doc[same])
         return pa.table({"a": pa.array(node, pa.int64()), "b": pa.array(root, pa.int64())})
 
-    sent = placed.groupBy("part").cogroup(heavy.groupBy("part")).applyInArrow(post, "bucket int, part int, data binary")
-    return sent.select("bucket", "data").groupBy("bucket").applyInArrow(meet, EDGES)
+    def rows(batch):
+        for x in batch.column(0).to_pylist():
+            ids, n, sig = unpack(x)
+            yield common.arrow(doc_id=ids, n_shingles=n, sig=sig)
+
+    sent = common.cut(placed.groupBy("part").cogroup(heavy.groupBy("part")).applyInArrow(post, "bucket int, part int, data binary").select("bucket", "data"))
+    sets = common.map_arrow(sent.where(F.col("bucket") == OWN).select("data"), rows, SETS)
+    return sent.where(F.col("bucket") != OWN).groupBy("bucket").applyInArrow(meet, EDGES), sets
 
 
 def _wanted(docs: DataFrame, visits: DataFrame) -> DataFrame:
@@ -288,12 +309,15 @@ def _visits(rows: DataFrame, ranges: Ranges, packs: int) -> DataFrame:
     return rows.select("doc_id", "n", ranges.column().alias("part"), task.alias("task"), own.alias("tree"), "probe", "component")
 
 
-def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b``: verified links between different texts, enough to connect every group."""
+def similar_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``a, b``: verified links between different texts, enough to connect every group; and the sets of all rows."""
     ranges = Ranges(docs)
     common.ship(docs.sparkSession)
-    blocks = components(candidate_edges(docs, ranges)).select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
-    blocks = common.cut(blocks.join(sets.select("doc_id", F.col("n_shingles").alias("n")).distinct(), "doc_id"))
+    edges, sets = candidate_edges(docs, ranges)
+    sets = common.cut(sets)
+    blocks = components(edges).select(F.col("node").alias("doc_id"), F.col("root").alias("block"))
+    sizes = sets.where("n_shingles > 0").select("doc_id", F.col("n_shingles").alias("n")).distinct()
+    blocks = common.cut(blocks.join(sizes, "doc_id"))
     trees = common.cut(_trees(blocks))
     total = trees.agg(F.count("*").alias("n"), F.coalesce(F.max("large"), F.lit(False)).alias("large")).first()
     packs = max(1, -(-total.n // PACK), min(total.n // 64, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
@@ -308,7 +332,7 @@ def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
         rows = rows.unionByName(_neighbours(leaders.select(*PLACE), trees).select(*PLACE, *marks))
     links = common.cut(verified_links(docs, ranges, _visits(rows, ranges, packs), False))
     if not total.large:
-        return links
+        return links, sets
     found = components(links).withColumnRenamed("node", "doc_id")
     known = common.cut(trees.where("large").join(found, "doc_id", "left").select(*PLACE, F.coalesce("root", "doc_id").alias("component")))
     main = known.groupBy("block", "component").agg(F.count("*").alias("members")).groupBy("block").agg(F.max(F.struct("members", "component")).alias("top"))
@@ -318,8 +342,8 @@ def similar_links(docs: DataFrame, sets: DataFrame) -> DataFrame:
     stay = marked.join(visited, ["block", "band", "sub"], "left_semi").withColumn("probe", F.lit(False))
     again = common.cut(stay.select(*PLACE, "probe", "component").unionByName(probes.select(*PLACE, "probe", "component")))
     if again.isEmpty():
-        return links
-    return links.unionByName(common.cut(verified_links(docs, ranges, _visits(again, ranges, packs), True)))
+        return links, sets
+    return links.unionByName(common.cut(verified_links(docs, ranges, _visits(again, ranges, packs), True))), sets
 
 
 def _equal_sets(sets: DataFrame) -> DataFrame:
@@ -339,12 +363,9 @@ def _equal_sets(sets: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of each row of ``docs(doc_id, text)``."""
     docs = common.texts(docs)
-    sets = common.cut(set_table(docs))
-    if sets.isEmpty():
-        return sets.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    some = sets.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    links = similar_links(docs.where(F.col("doc_id").isNotNull()), some)
-    found = components(links.unionByName(_equal_sets(some)))
+    links, named = similar_links(docs.where(F.col("doc_id").isNotNull()))
+    found = components(links.unionByName(_equal_sets(named.where(F.col("n_shingles") > 0))))
+    sets = named.unionByName(set_table(docs.where(F.col("doc_id").isNull())))
     return sets.join(found, sets.doc_id == found.node, "left").select(sets.doc_id, "n_shingles", F.coalesce("root", sets.doc_id).alias("component_id"))
 
 

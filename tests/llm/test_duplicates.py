@@ -97,6 +97,36 @@ def test_prefix_tree_finds_all_links():
         assert roots(found) == roots([e for e in plain if probes[e[0]] or probes[e[1]]])
 
 
+def test_probes_walk_a_tree_together(monkeypatch):
+    rng = np.random.default_rng(8)
+    base = np.arange(100, dtype=np.uint64)
+    sets = []
+    for k in range(300):
+        own = base.copy()
+        at = rng.permutation(100)[: int(rng.integers(0, 20))]
+        own[at] = 1000 * (k + 1) + np.arange(len(at))
+        sets.append(np.unique(own))
+    plain = [(a, b) for a in range(300) for b in range(a) if 180 * len(np.intersect1d(sets[a], sets[b])) >= 80 * (len(sets[a]) + len(sets[b]))]
+    calls, walk = [], prefix_tree.Tree.walk
+    monkeypatch.setattr(prefix_tree.Tree, "walk", lambda self, probes, *rest: calls.append(len(probes)) or walk(self, probes, *rest))
+    for cells, most in ((1 << 22, 2), (50_000, 30), (1, 300)):
+        monkeypatch.setattr(prefix_tree, "CELLS", cells)
+        calls.clear()
+        found = prefix_tree.link(sets, np.arange(300))
+        assert len(calls) <= most and sum(calls) == 300
+        assert components_of(300, found) == components_of(300, plain) and {(max(e), min(e)) for e in found} <= set(plain)
+
+
+def test_texts_with_ids_are_split_with_their_prefixes(spark, monkeypatch):
+    plain, asked = similarity.set_table, []
+    monkeypatch.setattr(similarity, "set_table", lambda docs: asked.append(docs) or plain(docs))
+    texts = corpus(seed=2, groups=3, lone=6)
+    df = spark.createDataFrame([*enumerate(texts), (None, "a b c")], SCHEMA)
+    rows = [(r.doc_id, r.n_shingles, r.component_id) for r in similarity.groups(df).collect()]
+    assert sorted(r for r in rows if r[0] is not None) == sorted((i, *x) for i, x in plain_groups(texts).items())
+    assert [r for r in rows if r[0] is None] == [(None, 1, None)] and [d.count() for d in asked] == [1]
+
+
 def components_of(n, edges):
     parent = list(range(n))
 
