@@ -62,6 +62,33 @@ def overlaps(windows: DataFrame, reads: DataFrame, width: int = 4096) -> DataFra
     return hits.where(F.col("bin") == own).drop("bin")
 
 
+def coverage(windows: DataFrame, reads: DataFrame, width: int = 4096) -> DataFrame:
+    """``windows`` with ``n_reads``: how many ``reads(contig, start, end)`` have start < hi and end > lo.
+
+    Counted without pairs: the reads that start before ``hi`` less those that end by ``lo``, both from running
+    sums over places, inside blocks of ``width`` and over the blocks before.  So work is that of sorting the
+    places, however many reads a window holds.  Windows must not be empty, or reads be all of one length.
+    """
+    place = lambda pos, starts, ends: F.struct(F.col(pos).cast("long").alias("pos"), F.lit(starts).alias("starts"), F.lit(ends).alias("ends"))
+    of = lambda df, *places: df.select("contig", F.inline(F.array(*places)))
+    known = reads.where(F.col("start").isNotNull() & F.col("end").isNotNull())
+    rows = of(known, place("start", 1, 0), place("end", 0, 1)).unionByName(of(windows, place("lo", 0, 0), place("hi", 0, 0)))
+    rows = rows.where(F.col("contig").isNotNull() & F.col("pos").isNotNull())
+    places = rows.groupBy("contig", "pos").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
+    places = places.withColumn("block_no", F.floor(F.col("pos") / width))
+    blocks = places.groupBy("contig", "block_no").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
+    earlier = Window.partitionBy("contig").orderBy("block_no").rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda name, over: F.coalesce(F.sum(name).over(over), F.lit(0))
+    blocks = blocks.select("contig", "block_no", total("starts", earlier).alias("starts_before"), total("ends", earlier).alias("ends_before"))
+    inside = Window.partitionBy("contig", "block_no").orderBy("pos")
+    before, upto = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(Window.unboundedPreceding, 0)
+    sums = places.select("contig", "block_no", "pos", total("starts", before).alias("begun"), total("ends", upto).alias("ended")).join(blocks, ["contig", "block_no"])
+    begun = sums.select("contig", F.col("pos").alias("hi"), (F.col("begun") + F.col("starts_before")).alias("begun"))
+    ended = sums.select("contig", F.col("pos").alias("lo"), (F.col("ended") + F.col("ends_before")).alias("ended"))
+    found = windows.join(begun, ["contig", "hi"], "left").join(ended, ["contig", "lo"], "left")
+    return found.select(*windows.columns, F.greatest(F.lit(0), F.coalesce(F.col("begun") - F.col("ended"), F.lit(0))).cast("long").alias("n_reads"))
+
+
 def consecutive_edges(steps: DataFrame, path: str = "path", order: str = "node_id") -> DataFrame:
     """``a, b``: neighbours on a path, by blocks so that a long path is not one task."""
     rows = steps.select(path, order).distinct().withColumn("block_no", F.floor(F.col(order) / BLOCK))

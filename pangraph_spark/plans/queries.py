@@ -289,8 +289,8 @@ def region_document(g: Graph) -> DataFrame:
     LEFT JOIN linear_reads r ON r.contig = w.contig AND r.start < w.hi AND r."end" > w.lo GROUP BY w.variant_id, w.contig, w.lo"""
 )
 def pileup_counts(g: Graph) -> DataFrame:
-    """Reads over each variant, variants without reads included."""
-    windows = g.linear_windows()
-    hits = paths.overlaps(windows, g.linear_reads(), width=20_000).groupBy("variant_id").agg(F.count("*").alias("n_reads"))
-    found = windows.join(hits, "variant_id", "left")
-    return found.select(scalars.position_key(F.col("contig"), F.col("lo")).alias("key"), F.coalesce("n_reads", F.lit(0).cast("long")).alias("n_reads"))
+    """Reads over each variant, variants without reads included; windows of one variant, contig and start count together."""
+    counted = paths.coverage(g.linear_windows(), g.linear_reads().where("read_id IS NOT NULL"))
+    found = counted.groupBy("variant_id", "contig", "lo").agg(F.sum("n_reads").alias("n_reads"))
+    key = F.when(F.col("contig").isNotNull(), scalars.position_key(F.col("contig"), F.col("lo")))
+    return found.select(key.alias("key"), "n_reads")

@@ -80,6 +80,20 @@ def test_binned_join_equals_plain_join(spark):
     assert found == sorted((a[0], b[0]) for a in w for b in r if a[1] == b[1] and b[2] < a[3] and b[3] > a[2])
 
 
+def test_coverage_counts_without_pairs(spark):
+    rng = random.Random(5)
+    w = [(k, rng.choice(["a", "b", None]), (s := rng.randrange(-300, 900)), s + rng.randrange(1, 300)) for k in range(80)]
+    w += [(80, "a", None, 40), (81, "a", 40, None), (82, "c", 0, 9)]
+    r = [(rng.choice(["a", "b", None]), (s := rng.randrange(-300, 900)), s + rng.randrange(200)) for _ in range(120)] + [("a", None, None)]
+    wd = spark.createDataFrame(w, "id int, contig string, lo long, hi long")
+    rd = spark.createDataFrame(r, "contig string, start long, end long")
+    plain = {a[0]: sum(a[1] == b[0] and None not in (*a, *b) and b[1] < a[3] and b[2] > a[2] for b in r) for a in w}
+    out = paths.coverage(wd, rd, 64)
+    assert {x.id: x.n_reads for x in out.collect()} == plain
+    same = paths.coverage(wd.limit(0).unionByName(spark.createDataFrame([(k, "a", 0, 9) for k in range(20_000)], wd.schema)), spark.createDataFrame([("a", 1, 5)], rd.schema).crossJoin(spark.range(20_000)).drop("id"))
+    assert [tuple(x) for x in same.groupBy("n_reads").count().collect()] == [(20_000, 20_000)]
+
+
 def test_offsets_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(paths, "BLOCK", 4)
     rows = [("p", k, 1 + k % 3) for k in range(40)]
