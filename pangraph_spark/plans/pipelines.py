@@ -104,7 +104,7 @@ def pileup(variants: DataFrame, reads: DataFrame, flank: int = 200) -> DataFrame
     rows = variants.where(F.col("pos").isNotNull()).withColumn("key", position_key(F.col("chrom"), F.col("pos")))
     last = visits.upsert(rows, ["key"], "ordinal")
     asked = last.select("key", F.col("chrom").alias("contig"), window_start(F.col("pos"), flank).alias("lo"), (F.col("pos") + flank).alias("hi"))
-    hits = paths.overlaps(asked, reads)
+    hits = paths.overlaps(asked.where("hi > lo"), reads.where("end > start"))
     item = F.struct(F.col("start").alias("reference_start"), "query_name", "cigar", "sequence", "mapping_quality", "is_reverse")
     found = hits.groupBy("key").agg(F.array_sort(F.collect_list(item)).alias("pileup_reads"))
     variant = F.struct(F.col("chrom").alias("chromosome"), F.col("pos").alias("position"), F.col("ref").alias("reference"), F.col("alt").alias("alternate"))

@@ -37,7 +37,7 @@ ODD = """SELECT * FROM (VALUES (1, TIMESTAMP '2024-01-01 00:00:00', 'a'), (1, TI
     (5, TIMESTAMP '1969-12-31 18:27:00', 'a'), (6, TIMESTAMP '1969-12-31 23:58:30', 'a'), (7, TIMESTAMP '1969-12-31 18:26:00', 'a'), (8, TIMESTAMP '1969-12-31 18:25:30', 'a')) t(event_id, ts, event_type)"""
 
 
-@pytest.mark.parametrize("name", ["pileup_counts"])
+@pytest.mark.parametrize("name", ["pileup_counts", "variant_read_overlap"])
 def test_odd_events_match_sql(spark, tmp_path, name):
     """Repeated and missing ids, times and types, and times before 1970, whose windows may be empty."""
     con = duckdb.connect()
