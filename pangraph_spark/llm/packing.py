@@ -28,6 +28,7 @@ from .bpe_codec import token_ids
 from .token_counts import encoder
 from .words import text_slices
 
+SLICE = 2 << 20  # bytes that are encoded at a time; two workers share an executor with what the JVM holds by then
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -37,7 +38,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int, end_id: int) -> DataFra
 
     def step(batch):
         enc = encoder(shared.value)
-        for rows, data, offsets in text_slices(batch):
+        for rows, data, offsets in text_slices(batch, limit=SLICE):
             ids, at = token_ids(enc, data, offsets)
             n = np.diff(at)
             # an end mark behind each document's ids

@@ -156,3 +156,18 @@ def test_null_ids_and_repeated_rows(spark):
     assert sorted(str(r.doc_id) for r in token_counts.count_tokens(df, PATH).collect()) == ["1", "1", "None"]
     assert packing.pack(df, PATH).count() == 3
     assert common.texts(df.selectExpr("*", "1 AS data")).columns == ["doc_id", "text"]
+
+
+def test_packing_encodes_small_slices(spark, monkeypatch):
+    """What a worker holds is bounded by slices of 2 MB, whatever a batch holds; a longer text is one slice."""
+    rows = [(k, f"word{k} other words, " * 30_000) for k in range(6)] + [(6, "one " * 600_000), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, packing.pieces(df, common.tokenizer_path(), 4096, 1).collect()))
+    held, encode = [], packing.token_ids
+    monkeypatch.setattr(common, "map_arrow", lambda docs, step, schema: step)
+    monkeypatch.setattr(packing, "token_ids", lambda enc, data, offsets: held.append((len(data), len(offsets) - 1)) or encode(enc, data, offsets))
+    step = packing.pieces(df, common.tokenizer_path(), 4096, 1)
+    batch = pa.RecordBatch.from_pylist([{"doc_id": i, "text": t} for i, t in rows])
+    found = [tuple(x.values()) for b in step(batch) for x in b.to_pylist()]
+    assert all(size <= 2 << 20 or n == 1 for size, n in held) and sum(n for _, n in held) == len(rows)
+    assert sorted(found) == plain
