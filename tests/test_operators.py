@@ -2,6 +2,7 @@
 
 import json
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -224,3 +225,26 @@ def test_command_line(spark, write, tmp_path, capsys):
     out = str(tmp_path / "o.json")
     assert cli.main(["region-reads", write("r.json", REGIONS), write("a.gam", READS), out]) == 0
     assert set(json.loads(open(out).read())) == {"x", "y", "z"}
+
+
+def test_overlaps_of_many_tiles(spark):
+    """More windows and reads in a bin than meet at once, of all lengths, some empty, some in several bins, some repeated."""
+    rng = random.Random(5)
+    windows = [(k, rng.choice("ab"), lo, lo + rng.choice((0, 1, 40, 300))) for k in range(1200) for lo in [rng.randrange(-50, 400)]] + [(7, "a", 5, 60)] * 2
+    reads = [(k, rng.choice("ab"), at, at + rng.choice((0, 1, 15, 150))) for k in range(500) for at in [rng.randrange(-50, 400)]] + [(7, "a", 9, 9), (None, "b", 20, 40), (8, None, 20, 40), (9, "a", None, 40)]
+    w = spark.createDataFrame(windows, "id long, contig string, lo long, hi long")
+    r = spark.createDataFrame(reads, "rid long, contig string, start long, end long")
+    pairs = [(i, q) for i, c, lo, hi in windows for q, d, b, e in reads if c == d and b is not None and b < hi and e > lo]
+    assert Counter(map(tuple, paths.overlaps(w, r, 128).select("id", "rid").collect())) == Counter(pairs)
+
+
+def test_overlaps_are_small_when_written(spark, tmp_path):
+    """Pairs come in an order that Parquet stores in a fraction of a byte each."""
+    rng = random.Random(5)
+    at = [rng.randrange(80_000) for _ in range(2000)]
+    w = spark.createDataFrame([(k, "a", x - 20_000, x + 20_000) for k, x in enumerate(at)], "id long, contig string, lo long, hi long")
+    r = spark.createDataFrame([(k, "a", x, x + 150) for k, x in enumerate(at)], "rid long, contig string, start long, end long")
+    paths.overlaps(w, r, 40_000).select("id", "rid").write.parquet(f"{tmp_path}/pairs")
+    pairs = spark.read.parquet(f"{tmp_path}/pairs").count()
+    assert pairs == sum(y < x + 20_000 and y + 150 > x - 20_000 for x in at for y in at)
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 0.25 * pairs
